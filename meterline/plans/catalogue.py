@@ -1,0 +1,4 @@
+"""Every query by name, with the SQL it is compared with."""
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
