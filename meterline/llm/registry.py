@@ -1,8 +1,10 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import near_dedup
+from . import bpe, near_dedup, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
+    "op10_bpe_encoding_and_decoding": bpe.op10_bpe_encoding_and_decoding,
 }
 ORACLE: dict[str, str] = {}
