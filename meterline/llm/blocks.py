@@ -94,15 +94,18 @@ class Words:
         self.first = np.searchsorted(self.starts, self.offsets)
         self.counts = np.diff(self.first)
         self.text_of = np.repeat(np.arange(len(self.counts)), self.counts)
-        self.hashes = self._hash() if hashes else None
+        self._sums = None
+        self.hashes = self.hash_of(self.starts, self.ends) if hashes else None
 
-    def _hash(self) -> np.ndarray:
+    def hash_of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of the lower-cased bytes of each range, wherever it stands."""
         n = len(self.data)
-        if not len(self.starts):
+        if not len(starts):
             return np.zeros(0, np.uint64)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_LETTERS[_LOWER[self.data]] * _power("up", _BASE, n), out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * _power("down", _BASE_INV, n)[self.starts])
+        if self._sums is None:
+            self._sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_LETTERS[_LOWER[self.data]] * _power("up", _BASE, n), out=self._sums[1:])
+        return mix((self._sums[ends] - self._sums[starts]) * _power("down", _BASE_INV, n)[starts])
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each word on, and whether they all lie in that word's text."""
