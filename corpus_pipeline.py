@@ -1,18 +1,50 @@
-"""Five stages from raw documents to encoded text; each one works on all that the stage before it kept."""
+"""Five stages from raw documents to encoded text; each one works on all that the stage before it kept.
+
+Every stage takes (spark, docs, sf_dir) with the columns of ``documents`` and gives them back; the last gives one row of token
+figures per document. A stage's result is written to the shared folder and read again by the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterline.llm import near_dedup
+from meterline.llm import bpe, decontaminate, near_dedup, substring_dedup, toxicity
 from meterline.llm.workspace import Workspace, table
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain finds toxic go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
     return near_dedup.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup_stage)]
+def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out; every document stays."""
+    return substring_dedup.without_repeats(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of any benchmark item go."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left."""
+    return bpe.digests(bpe.encode_decode(docs))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_dedup", near_dedup_stage),
+    ("substring_dedup", substring_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("bpe", encoding_stage),
+]
+#: SQL can't train the chain or merge tokens; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
