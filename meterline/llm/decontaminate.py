@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .workspace import Workspace, table
+from .workspace import Workspace, table, without
 
 WINDOW, GRAM = 8, 5
 #: Benchmark text that goes to the workers at once; a larger benchmark is taken in several such blocks.
@@ -208,8 +208,7 @@ def report(found: DataFrame, *, items: int = 2) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, items: int = 1) -> DataFrame:
     """The rows of ``docs`` in which windows of fewer than ``items`` items occur, all columns unchanged."""
-    gone = contamination(docs, benchmark).where(F.size("items") >= items).select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return without(docs, contamination(docs, benchmark).where(F.size("items") >= items).select("doc_id"), "contaminated")
 
 
 def op8_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .components import connected_components
-from .workspace import BROADCAST_ROWS, Workspace, table
+from .workspace import BROADCAST_ROWS, Workspace, table, without
 
 BANDS, ROWS, BITS = 32, 4, 4
 MINIMA = BANDS * ROWS
@@ -230,8 +230,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, block
 
 def keep_one(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that carry their group's smallest doc_id (and those without doc_id), all columns unchanged."""
-    gone = near_duplicates(docs, percent=percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return without(docs, near_duplicates(docs, percent=percent).where("not kept").select("doc_id"), "near-dedup-gone")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

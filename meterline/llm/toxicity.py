@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .workspace import table
+from .workspace import table, without
 
 #: Bound on the labelled rows that training sees; features kept per category; folds; bytes of a word beginning.
 SAMPLE_ROWS, FEATURES, FOLDS, BEGINNING = 10_000, 256, 5, 6
@@ -209,8 +209,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, categories: dict[str, str] |
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't found toxic, all columns unchanged; rows without doc_id stay."""
-    gone = toxicity(docs, labels).where("toxic and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return without(docs, toxicity(docs, labels).where("toxic").select("doc_id"), "toxic")
 
 
 def op7_classifier_chain_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

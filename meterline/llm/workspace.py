@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A side of a join may be broadcast only when it was counted and holds at most this many rows of a few bytes each.
 BROADCAST_ROWS = 1_000_000
@@ -46,3 +47,15 @@ class Workspace:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def without(docs: DataFrame, gone: DataFrame, label: str) -> DataFrame:
+    """``docs`` less the rows whose doc_id is in the one column of ``gone``; rows without doc_id stay. The ids are written and
+    counted: up to BROADCAST_ROWS they are broadcast and no text moves, beyond that both sides are shuffled."""
+    column = "_gone"
+    while column in docs.columns:
+        column += "_"
+    ids = Workspace(docs.sparkSession, label).write(gone.toDF(column).where(f"{column} is not null").distinct(), "gone")
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"] == ids[column], "left_anti")
