@@ -67,6 +67,9 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFra
     earliest = F.min(F.struct("doc_id", "line"))
     latest = F.max(F.struct("doc_id", "line"))
     groups = lines.groupBy(*digest).agg(earliest.alias("first"), latest.alias("last")).where("first < last").drop("last")
+    groups = ws.write(groups, "groups")
+    if groups.count() <= BROADCAST_ROWS // 4:
+        groups = F.broadcast(groups)
     repeats = lines.join(groups, digest).where(F.struct("doc_id", "line") > F.col("first"))
     run = F.col("line") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("line"))
     runs = repeats.withColumn("_run", run).withColumn("_words", F.sum("n_words").over(Window.partitionBy("doc_id", "_run")))
