@@ -68,7 +68,7 @@ def lyric_texts(texts: DataFrame, path: str = "path", text: str = "text") -> Dat
 
 
 def read_lyrics(spark: SparkSession, path: str) -> DataFrame:
-    found = spark.read.option("wholetext", True).text(path)
+    found = spark.read.text(path, wholetext=True)
     return lyric_texts(found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
