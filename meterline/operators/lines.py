@@ -161,6 +161,8 @@ def anchor_track(lines: list[dict], words: list[dict], least: float) -> list[dic
             else:
                 span = range(cursor, min(n, cursor + LOOKAHEAD))
             for first in span:
+                if best and best[0] == 1.0:  # only a strictly better window would replace it
+                    break
                 for size in range(max(1, k - 2), k + 4):
                     if first + size > n:
                         break

@@ -268,11 +268,11 @@ def shot_motion(spark, sf_dir):
     return shots.motion(_shots(spark, sf_dir), pairs, ["user_id"], width=64.0)
 
 
-@query(f"""with {_SHOTS}, pl as (select distinct user_id, least(round_even((s + (e - s) / 2) * {FPS}, 0)::bigint, end_frame - 1) f from p where e - s < 4)
+@query(f"""with {_SHOTS}, t as (select *, unnest(case when e - s < 4 then [s + (e - s) / 2] else [s + (e - s) / 3, s + 2 * (e - s) / 3] end) tm from p), pl as (select distinct user_id, least(round_even(tm * {FPS}, 0)::bigint, end_frame - 1) f from t)
 select count(*) n, sum(f)::bigint total from (select distinct user_id, floor(t / 60)::bigint f from e) join pl using (user_id, f)""")
 def planned_frames(spark, sf_dir):
     frames = _series(spark, sf_dir).select("user_id", F.floor(F.col("t") / 60).cast("long").alias("frame")).distinct()
-    plan = shots.frame_plan(_shots(spark, sf_dir).where(F.col("end") - F.col("start") < 4), ["user_id"], F.lit(FPS))
+    plan = shots.frame_plan(_shots(spark, sf_dir), ["user_id"], F.lit(FPS))
     return shots.planned_frames(frames, plan, ["user_id"]).agg(F.count("*").alias("n"), F.sum("frame").alias("total"))
 
 
@@ -325,12 +325,12 @@ def line_repetition(spark, sf_dir):
 
 
 def _anchoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turn n + 1 of a conversation is a line to be found among the words of all its turns, four words a second."""
+    """The sentences of a conversation are lines to be found among the words of all its turns, four words a second."""
     c = table(spark, sf_dir, "conversations")
     words = c.select("conv_id", "turn", F.posexplode(T.tokens(F.col("text"))).alias("p", "text"))
     observed = series.indexed(words, ["conv_id"], ["turn", "p"], "word_idx").select("conv_id", "word_idx", "text", (F.col("word_idx") / 4.0).alias("start"), (F.col("word_idx") / 4.0 + 0.2).alias("end"))
-    head = F.array_join(F.slice(T.tokens(F.col("text")), 2, 6), " ")
-    supplied = c.select("conv_id", F.col("turn").cast("long").alias("line_idx"), head.alias("text"), F.lit(None).cast("double").alias("hint_seconds"))
+    sentences = c.select("conv_id", "turn", F.posexplode(F.split("text", r"[.\n]")).alias("p", "text")).where(F.trim("text") != "")
+    supplied = series.indexed(sentences, ["conv_id"], ["turn", "p"], "line_idx").select("conv_id", "line_idx", "text", F.lit(None).cast("double").alias("hint_seconds"))
     return lines.anchor_lines(supplied, observed, "conv_id")
 
 
@@ -339,13 +339,13 @@ def fuzzy_anchor(spark, sf_dir):
     return _anchoring(spark, sf_dir).select("conv_id", "line_idx", "anchored", rounded("start", "seconds").alias("start_t"), rounded("end", "seconds").alias("end_t"), "confidence")
 
 
-@query("""with t as (select conv_id, turn, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') w from conversations), p as (select a.conv_id, a.turn, list_slice(a.w, 1, 12) s, list_slice(b.w, 1, 9) o from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1),
+@query("""with t as (select conv_id, turn, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') w from conversations), p as (select a.conv_id, a.turn, a.w s, b.w o from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1),
 q as (select *, len(s) n, len(o) m, unnest(range(0, len(s))) i from p where len(s) > 0 and len(o) > 0)
 select conv_id, turn, i::int word_idx, s[i + 1] supplied, o[(case when n = 1 then 0 else round_even(i * (m - 1) / (n - 1)::double, 0) end)::int + 1] observed from q""")
 def word_pairing(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.filter(F.split(F.trim("text"), r"\s+"), lambda t: t != "").alias("w"))
-    other = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.transform(F.slice("w", 1, 9), lambda t: F.struct(t.alias("text"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"))).alias("observed"))
-    held = c.select("conv_id", "turn", F.slice("w", 1, 12).alias("supplied")).join(other, ["conv_id", "turn"])
+    other = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.transform("w", lambda t: F.struct(t.alias("text"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"))).alias("observed"))
+    held = c.select("conv_id", "turn", F.col("w").alias("supplied")).join(other, ["conv_id", "turn"])
     n, m = F.size("supplied"), F.size("observed")
     each = held.where((n > 0) & (m > 0)).select("conv_id", "turn", "observed", n.alias("n"), m.alias("m"), F.posexplode("supplied").alias("word_idx", "supplied"))
     j = F.when(F.col("n") == 1, F.lit(0)).otherwise(F.bround(F.col("word_idx") * (F.col("m") - 1) / (F.col("n") - 1), 0))
@@ -354,7 +354,7 @@ def word_pairing(spark, sf_dir):
 
 @query()
 def paired_words(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(T.tokens(F.col("text")), 1, 6).alias("w"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("w"))
     other = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.transform("w", lambda t: F.struct(t.alias("text"), F.lit(0.0).alias("start"), F.lit(0.25).alias("end"))).alias("observed"))
     return lines.pair_words(c.withColumnRenamed("w", "supplied").join(other, ["conv_id", "turn"]), ["conv_id", "turn"])
 
@@ -564,7 +564,7 @@ def word_confidence(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(lines.words_of(each)).alias("n_words"), rounded(mean, "ratio").alias("confidence"))
 
 
-@query()
+@query("select distinct substr(sha256(conv_id::varchar), 1, 16) track_id, true same from conversations")
 def document_round_trip(spark, sf_dir):
     """Manifests written as canonical text and read back give the same hash."""
     held = documents.with_hash(_manifests(spark, sf_dir), "manifest")
@@ -602,9 +602,9 @@ def schema_export(spark, sf_dir):
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in schemas.exported().items()], "document string, schema string")
 
 
-# Numeric kernels on synthetic audio made from the events: one click per event, a minute of the day per 10 ms.
+# Numeric kernels on synthetic audio made from the events: one click per event, a day is two seconds.
 
 @query()
 def audio_features(spark, sf_dir):
-    s = _series(spark, sf_dir).where("user_id < 8").select(F.col("user_id").cast("string").alias("track_id"), (F.floor(F.pmod(F.col("t"), F.lit(86400.0)) / 4320 * 44100)).cast("long").alias("i"), (F.col("v") / 500).alias("v"))
+    s = _series(spark, sf_dir).select(F.col("user_id").cast("string").alias("track_id"), (F.floor(F.pmod(F.col("t"), F.lit(86400.0)) / 43200 * 44100)).cast("long").alias("i"), (F.col("v") / 500).alias("v"))
     return kernels.features_of_samples(s).select("track_id", rounded("bpm_global", "bpm").alias("bpm_global"), F.size("beats").alias("n_beats"), F.size("rms_db").alias("n_frames"), "integrated_lufs")
