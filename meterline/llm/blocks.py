@@ -6,12 +6,15 @@ number of rows. Word hashes are 64-bit; equal hashes are taken as equal words.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 #: ``[^\x20\x09-\x0D]+``: everything but white space is part of a word.
 WHITESPACE = np.zeros(256, bool)
@@ -76,6 +79,37 @@ def _power(which: str, base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+def returning_memory(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow whose worker gives freed memory back to the system when a task ends; Spark keeps workers for later
+    stages, whose own needs would come on top."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: it has no such call
+                pass
+
+    return wrapped
+
+
+#: Arrow batches that Spark hands to a worker hold about so many bytes, unless the session says otherwise.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow in small batches, so that the memory of executors and workers doesn't follow 10,000 long rows. The session's
+    setting is lowered where it is the default; a value that someone has chosen stays."""
+    settings = df.sparkSession.conf
+    if settings.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        settings.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(returning_memory(run), schema)
+
+
 class Words:
     """Words of several texts. ``starts``/``ends`` are byte positions, ``first[d]`` is the index of text d's first word."""
 

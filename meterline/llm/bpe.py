@@ -12,6 +12,7 @@ import heapq
 import json
 import os
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -27,7 +28,7 @@ from .workspace import table
 
 MODEL = "word_bpe_49k.json"
 #: So many words of at most so many characters, and so many pairs, are remembered by a worker.
-REMEMBERED, REMEMBERED_CHARS, PAIRS = 200_000, 48, 2_000_000
+REMEMBERED, REMEMBERED_CHARS, PAIRS = 200_000, 48, 1_000_000
 _BEYOND = regex.compile("[԰-\U0010ffff]")
 
 
@@ -65,8 +66,10 @@ class Codec:
             key = text[: -len(self.end)] + "\0" if text.endswith(self.end) and len(text) > len(self.end) else text
             self.automaton.add_word(key, (len(key), i))
         self.automaton.make_automaton()
-        self.pairs: dict[int, bool] = {}
-        self.known: dict[str, list[int]] = {}
+        #: Pairs seen so far, sorted, and whether each is compatible.
+        self.pairs, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
+        #: Ids of words seen so far, as bytes of 32-bit integers.
+        self.known: dict[str, bytes] = {}
         self.texts = {i: t for t, i in self.vocabulary.items()}
         self.library = None
         from tokenizers import Tokenizer, models
@@ -109,29 +112,33 @@ class Codec:
                     heapq.heappush(heap, (rank, x, symbols[x], symbols[y]))
         return [self.vocabulary[s] for s, on in zip(symbols, alive, strict=True) if on]
 
-    def exact(self, words: list[str]) -> list[list[int]]:
+    def exact(self, words: list[str]) -> list[bytes]:
         """Exact merging of whole words, given in byte letters, by the library's own merger and nothing else of it."""
-        return [found.ids for found in self.merger.encode_batch(words, add_special_tokens=False)] if words else []
+        return [array("i", found.ids).tobytes() for found in self.merger.encode_batch(words, add_special_tokens=False)] if words else []
 
     # Speculation
 
     def _compatible(self, codes: np.ndarray) -> np.ndarray:
         """Whether each code, two ids side by side or one id and none (-1), is what merging its own text gives."""
-        distinct, back = np.unique(codes, return_inverse=True)
-        if len(self.pairs) + len(distinct) > PAIRS:
-            self.pairs.clear()
-        found = np.zeros(len(distinct), bool)
-        for k, code in enumerate(distinct.tolist()):
-            ok = self.pairs.get(code)
-            if ok is None:
+        at = np.searchsorted(self.pairs, codes)
+        seen = at < len(self.pairs)
+        seen[seen] = self.pairs[at[seen]] == codes[seen]
+        new = np.unique(codes[~seen])
+        if len(new):
+            if len(self.pairs) + len(new) > PAIRS:
+                self.pairs, self.fits, new = self.pairs[:0], self.fits[:0], np.unique(codes)
+            fits = np.zeros(len(new), bool)
+            for k, code in enumerate(new.tolist()):
                 a, b = code >> 20, (code & 0xFFFFF) - 1
                 ids = [a] if b < 0 else [a, b]
-                ok = self.pairs[code] = self.merge([s for i in ids for s in self._symbols(i)]) == ids
-            found[k] = ok
-        return found[back]
-
-    def propose(self, words: list[str]) -> list[list[int]]:
-        """Ids of each of the words, given in byte letters without word end; none is empty."""
+                fits[k] = self.merge([s for i in ids for s in self._symbols(i)]) == ids
+            place = np.searchsorted(self.pairs, new)
+            self.pairs, self.fits = np.insert(self.pairs, place, new), np.insert(self.fits, place, fits)
+            at = np.searchsorted(self.pairs, codes)
+        return self.fits[at]
+
+    def propose(self, words: list[str]) -> list[bytes]:
+        """Ids of each of the words as bytes; words are given in byte letters without word end, none is empty."""
         n = len(words)
         text = "\0".join(words) + "\0"
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
@@ -149,7 +156,7 @@ class Codec:
         asked &= covered[word]
         good[asked] = self._compatible(codes[asked])
         fine = covered & (np.bincount(word, ~good, n) == 0)
-        flat, cut = ids.tolist(), first.tolist()
+        flat, cut = ids.astype(np.int32).tobytes(), (4 * first).tolist()
         merged = iter(self.exact([words[k] for k in np.flatnonzero(~fine).tolist()]))
         return [flat[cut[k] : cut[k + 1]] if ok else next(merged) for k, ok in enumerate(fine.tolist())]
 
@@ -176,14 +183,14 @@ class Codec:
             out += [part] if part in self.special else self._split(part)
         return out
 
-    def _ids(self, words: list[str]) -> list[list[int]]:
+    def _ids(self, words: list[str]) -> list[bytes]:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = words
         plain = [w for w in new if w not in self.special]
         fresh = dict(zip(plain, self.propose([w.encode().decode("latin-1").translate(self.letters) for w in plain]), strict=True)) if plain else {}
-        fresh |= {w: [self.special[w]] for w in new if w in self.special}
+        fresh |= {w: array("i", [self.special[w]]).tobytes() for w in new if w in self.special}
         out = [fresh[w] if w in fresh else self.known[w] for w in words]
         self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= REMEMBERED_CHARS)
         return out
@@ -197,8 +204,8 @@ class Codec:
             upto.append(len(words))
         coded = pa.array(words, pa.string()).dictionary_encode()
         each = self._ids(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter((i for ids in each for i in ids), np.int32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), np.int32)
         starts = np.cumsum(sizes) - sizes
         which = coded.indices.to_numpy()
         lengths = sizes[which]
@@ -230,7 +237,7 @@ def encode_decode(docs: DataFrame, *, model: str | None = None) -> DataFrame:
     over Arrow batches, no shuffle; ``model`` is a path that every executor can open, by default the installed file.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_coded(model, 4 << 20), "doc_id long, ids array<int>, decoded string")
+    return blocks.map_arrow(texts, _coded(model, 2 << 20), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(coded: DataFrame) -> DataFrame:

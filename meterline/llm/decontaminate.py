@@ -164,14 +164,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     n_blocks = -(-total // block_bytes)
     if n_blocks <= 1:
         rows = items.collect()
-        return texts.mapInArrow(_searched([r[0] for r in rows], [r[1] for r in rows], window, gram), SCHEMA)
+        return blocks.map_arrow(texts, _searched([r[0] for r in rows], [r[1] for r in rows], window, gram), SCHEMA)
     ws = Workspace(spark, "decontaminate")
     numbered = ws.write(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))).repartition("block"), "items")
     rows = ws.write(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
     out = None
     for b in range(n_blocks):
         part = numbered.where(F.col("block") == b).select("item_id", "text").collect()
-        search = rows.select(F.col("row").alias("doc_id"), "text").mapInArrow(_searched([r[0] for r in part], [r[1] for r in part], window, gram), SCHEMA)
+        search = blocks.map_arrow(rows.select(F.col("row").alias("doc_id"), "text"), _searched([r[0] for r in part], [r[1] for r in part], window, gram), SCHEMA)
         found = search.where("size(spans) > 0").select(F.col("doc_id").alias("row"), F.explode(F.transform("spans", lambda s: F.struct(s["start"], s["end"]))).alias("span"), "items")
         out = found if out is None else out.union(found)
     united = out.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
@@ -182,7 +182,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.try_element_at(done, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(done, F.lit(-1))["end"], s["end"]).alias("end"))))
         ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
     )
-    counted = rows.select("row", "doc_id", "text").mapInArrow(_counted, "row long, doc_id long, n_words long")
+    counted = blocks.map_arrow(rows.select("row", "doc_id", "text"), _counted, "row long, doc_id long, n_words long")
     joined = counted.join(united.select("row", merged.alias("spans"), "items"), "row", "left")
     return joined.select("doc_id", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
 

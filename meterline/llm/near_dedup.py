@@ -159,7 +159,7 @@ def _confirm(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
         for part in blocks.chunks(batches, "text"):
             task = np.stack([part.column(part.schema.get_field_index(x)).to_numpy() for x in ("bucket", "left", "right")], axis=1)
             cut = 0
-            if size >= blocks.CHUNK_BYTES // 2:
+            if size >= blocks.CHUNK_BYTES:
                 last = held[-1].slice(held[-1].num_rows - 1)
                 ends = [last.column(last.schema.get_field_index(x))[0].as_py() for x in ("bucket", "left", "right")]
                 same = (task == ends).all(axis=1)
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, block
     spark = docs.sparkSession
     ws = Workspace(spark, "near-dedup")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = ws.write(texts.mapInArrow(_sketch(words), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, packed array<long>"), "sketches")
+    sketches = ws.write(blocks.map_arrow(texts, _sketch(words), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, packed array<long>"), "sketches")
     filled = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = ws.write(filled.groupBy("set_a", "set_b").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "packed"), "doc_id").alias("x")).select("set_a", "set_b", "x.*"), "classes")
     # Buckets of several classes; those with the same members are one.
@@ -214,13 +214,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, block
     if (n := wanted.count()) <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     held = texts.join(wanted, "doc_id", "left_semi").join(classes.select("doc_id", "packed"), "doc_id")
-    edges = (
-        tasks.join(held, "doc_id")
-        .repartition("bucket", "left", "right")
-        .sortWithinPartitions("bucket", "left", "right")
-        .select("bucket", "left", "right", "block", "doc_id", "packed", "text")
-        .mapInArrow(_confirm(words, percent), "a long, b long")
-    )
+    met = tasks.join(held, "doc_id").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right").select("bucket", "left", "right", "block", "doc_id", "packed", "text")
+    edges = blocks.map_arrow(met, _confirm(words, percent), "a long, b long")
     found = connected_components(edges, ws) if n else spark.createDataFrame([], "node long, component long")
     known = classes.select("set_a", "set_b", F.col("doc_id").alias("node")).join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     linked = sketches.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("set_a")).alias("set_a"), "set_b").join(known, ["set_a", "set_b"], "left")

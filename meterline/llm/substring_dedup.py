@@ -62,7 +62,7 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFra
     """
     ws = Workspace(docs.sparkSession, "substring-dedup")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    lines = ws.write(texts.mapInArrow(_lines, "doc_id long, line long, start long, end long, n_words long, digest_a long, digest_b long"), "lines")
+    lines = ws.write(blocks.map_arrow(texts, _lines, "doc_id long, line long, start long, end long, n_words long, digest_a long, digest_b long"), "lines")
     digest = ["digest_a", "digest_b"]
     earliest = F.min(F.struct("doc_id", "line"))
     latest = F.max(F.struct("doc_id", "line"))

@@ -87,7 +87,7 @@ class Counter:
 def _counted(model: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
-        for part in blocks.chunks(batches, "text", 8 << 20):
+        for part in blocks.chunks(batches, "text", 4 << 20):
             counter = counter or Counter(model)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blocks.lengths(part.column(1))), pa.array(counter.count(part.column(1)))], names=["doc_id", "n_bytes", "n_tokens"])
 
@@ -102,7 +102,7 @@ def token_counts(docs: DataFrame, *, limit: int = 4096, model: str | None = None
     executor can open, by default the installed vocabulary file.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_counted(model), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return blocks.map_arrow(texts, _counted(model), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,7 +170,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *,
     sample = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *label).dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # sample_rows bounds this side, so it may be broadcast.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    found = texts.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi").mapInArrow(_featured, "doc_id long, found array<long>").dropDuplicates(["doc_id"])
+    held = texts.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
+    found = blocks.map_arrow(held, _featured, "doc_id long, found array<long>").dropDuplicates(["doc_id"])
     got = found.join(F.broadcast(sample), "doc_id").withColumn("_fold", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FOLDS))).select("doc_id", "_fold", "found", *categories).toArrow().sort_by("doc_id")
     ids = got.column("found")
     lists = [ids[i].values.to_numpy().view(np.uint64) for i in range(len(ids))]
@@ -194,7 +195,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     repeated rows; a null doc_id is carried.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = texts.mapInArrow(_scored(chain), ", ".join(["doc_id long", *(f"p_{c} double" for c in chain.categories)]))
+    scored = blocks.map_arrow(texts, _scored(chain), ", ".join(["doc_id long", *(f"p_{c} double" for c in chain.categories)]))
     return scored.select("*", *((F.col(f"p_{c}") >= float(t)).alias(c) for c, t in zip(chain.categories, chain.thresholds, strict=True)))
 
 

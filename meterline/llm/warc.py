@@ -20,6 +20,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blocks
 from .workspace import Workspace, table
 
 ARCHIVE_BYTES = 256 << 20
@@ -126,7 +127,7 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0) -> DataFr
     if classes.count() <= BROADCAST_CLASSES:
         classes = F.broadcast(classes)
     joined = rows.withColumn("sha", F.sha1("html")).join(classes, "sha", "left").select("page_id", "url", "html", "latest")
-    return joined.mapInArrow(_writer(path), INDEX)
+    return blocks.map_arrow(joined, _writer(path), INDEX)
 
 
 def _reader(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -159,7 +160,7 @@ def read_records(index: DataFrame, path: str) -> DataFrame:
     of the response it refers to."""
     piece: Column = F.floor(F.col("offset") / READ_BYTES)
     placed = index.select("archive", "offset", "length").repartition(F.col("archive"), piece).sortWithinPartitions("archive", "offset")
-    return placed.mapInArrow(_reader(path), "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return blocks.map_arrow(placed, _reader(path), "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_round_trip(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
