@@ -44,11 +44,7 @@ def spectra(y: np.ndarray, block: int = 512) -> Iterator[np.ndarray]:
 
 def hold_last(values: np.ndarray, silent: np.ndarray) -> np.ndarray:
     """Values over silent frames are the last ones before, at the head the first; zero if all is silent."""
-    if silent.all():
-        return np.zeros_like(values)
-    at = np.maximum.accumulate(np.where(~silent, np.arange(len(values)), -1))
-    at[at < 0] = int(np.flatnonzero(~silent)[0])
-    return values[at]
+    return pd.Series(values, dtype=float).mask(silent).ffill().bfill().fillna(0.0).to_numpy()
 
 
 def centroid_hz(y: np.ndarray, db: np.ndarray) -> np.ndarray:
@@ -153,12 +149,14 @@ def beat_frames(env: np.ndarray, bpm: float, tightness: float = 100.0) -> np.nda
     return np.array(out[::-1], int)
 
 
-def downbeat_offset(env: np.ndarray, beats: np.ndarray, window: float = 0.03) -> int:
-    if len(beats) < 4:
+def downbeat_offset(env: np.ndarray, beats: np.ndarray, window: float = 0.03, beats_per_bar: int = 4) -> int:
+    """The phase of the bar whose beats have the strongest onsets nearby; the lowest of equal ones, 0 without a full bar."""
+    if len(beats) < beats_per_bar:
         return 0
     reach = max(1, int(round(window * RATE / HOP)))
-    at = np.array([env[max(0, b - reach) : b + reach + 1].max() for b in beats])
-    return int(np.argmax([at[p::4].mean() for p in range(4)]))
+    nearby = np.lib.stride_tricks.sliding_window_view(np.pad(env, reach, constant_values=-np.inf), 2 * reach + 1).max(axis=1)
+    phase = np.arange(len(beats)) % beats_per_bar
+    return int(np.argmax(np.bincount(phase, nearby[beats]) / np.bincount(phase)))
 
 
 def tempo_confidence(times: np.ndarray) -> float:

@@ -144,46 +144,62 @@ def _halves_up(x: float) -> float:
     return math.floor(x * 1000 + 0.5) / 1000
 
 
-def anchor_track(lines: list[dict], words: list[dict], least: float) -> list[dict]:
-    """Lines in file order (tokens, normal, hint_seconds) against words in time order (normal, start, end).
+def _sorted_text(words: list[str]) -> str:
+    return " ".join(sorted(w for w in words if w))
+
+
+def best_window(wanted: list[str], stream: list[str], starts: range) -> tuple[float, int, int]:
+    """(score, start, end) of the window of the stream that is most like the wanted tokens, all compared sorted; of equal ones the
+    first, and the shortest of those. (0, 0, 0) without windows.
 
-    A window of words is scored by comparing sorted tokens. The longest common subsequence is never longer than the multiset of
-    shared characters allows, so windows whose bound can't beat the best score so far are passed over.
+    Two texts can't be more alike than their lengths allow, so windows are scored from the highest such bound down, and the
+    search ends where the bound falls under the best score.
     """
-    out, cursor, n = [], 0, len(words)
+    target = _sorted_text(wanted)
+    sizes = range(max(1, len(wanted) - 2), len(wanted) + 4)
+    windows = []
+    for a in starts:
+        for b in (a + n for n in sizes if a + n <= len(stream)):
+            text = _sorted_text(stream[a:b])
+            total = len(target) + len(text)
+            windows.append((2.0 * min(len(target), len(text)) / total if total else 1.0, a, b, text))
+    windows.sort(key=lambda w: (-w[0], w[1], w[2]))
+    best = (-1.0, 0, 0)  # score, then start and end negated, so that the largest is the one wanted
+    for bound, a, b, text in windows:
+        if bound < best[0]:
+            break
+        best = max(best, (indel(target, text), -a, -b))
+    return (best[0], -best[1], -best[2]) if windows else (0.0, 0, 0)
+
+
+def _starts(hint: float | None, cursor: int, times: list[float]) -> range:
+    """Where a line may start: around its hint, or a stretch from the cursor on."""
+    if hint is None:
+        return range(cursor, min(len(times), cursor + LOOKAHEAD))
+    near = [i for i, t in enumerate(times) if hint - HINT_BEFORE <= t <= hint + HINT_AFTER]
+    return range(near[0], near[-1] + 1) if near else range(0)
+
+
+def spread(n: int, m: int) -> list[int]:
+    """For each of n places its counterpart among m, evenly, ties to even."""
+    return [round(i * (m - 1) / (n - 1)) if n > 1 else 0 for i in range(n)]
+
+
+def anchor_track(lines: list[dict], words: list[dict], least: float) -> list[dict]:
+    """Lines in file order (tokens, normal, hint_seconds) on words in time order (normal, start, end). A line without a hint is looked
+    for behind all that has been placed before it."""
+    stream, times = [w["normal"] for w in words], [w["start"] for w in words]
+    out, cursor = [], 0
     for line in lines:
-        k, wanted = len(line["normal"]), " ".join(sorted(line["normal"]))
-        best = None
-        if k and n:
-            if line["hint_seconds"] is not None:
-                near = [i for i, w in enumerate(words) if line["hint_seconds"] - HINT_BEFORE <= w["start"] <= line["hint_seconds"] + HINT_AFTER]
-                span = range(near[0], near[-1] + 1) if near else range(0)
-            else:
-                span = range(cursor, min(n, cursor + LOOKAHEAD))
-            for first in span:
-                if best and best[0] == 1.0:  # only a strictly better window would replace it
-                    break
-                for size in range(max(1, k - 2), k + 4):
-                    if first + size > n:
-                        break
-                    other = " ".join(sorted(" ".join(w["normal"] for w in words[first : first + size]).split()))
-                    total = len(wanted) + len(other)
-                    if best and total and 2.0 * min(len(wanted), len(other)) / total <= best[0]:
-                        continue
-                    score = indel(wanted, other)
-                    if best is None or score > best[0]:
-                        best = (score, first, size)
-        if best and best[0] >= least:
-            _, first, size = best
-            seen = words[first : first + size]
-            paired = []
-            for i, (text, normal) in enumerate(zip(line["tokens"], line["normal"], strict=True)):
-                o = seen[0 if k == 1 else round(i * (size - 1) / (k - 1))]
-                paired.append((text, o["start"], o["end"], _halves_up(indel(normal, o["normal"]))))
-            cursor = max(cursor, first + size)
-            out.append({"start": seen[0]["start"], "end": seen[-1]["end"], "anchored": True, "confidence": _halves_up(sum(p[3] for p in paired) / k), "words": paired, "flags": []})
-        else:
+        score, a, b = best_window(line["normal"], stream, _starts(line["hint_seconds"], cursor, times)) if line["normal"] else (0.0, 0, 0)
+        if b == 0 or score < least:
             out.append({"start": None, "end": None, "anchored": False, "confidence": None, "words": [], "flags": ["low_confidence", "unaligned", "timing_interpolated"]})
+            continue
+        seen = [words[a + j] for j in spread(len(line["tokens"]), b - a)]
+        alike = [_halves_up(indel(n, o["normal"])) for n, o in zip(line["normal"], seen, strict=True)]
+        placed = [(t, o["start"], o["end"], c) for t, o, c in zip(line["tokens"], seen, alike, strict=True)]
+        out.append({"start": words[a]["start"], "end": words[b - 1]["end"], "anchored": True, "confidence": _halves_up(sum(alike) / len(alike)), "words": placed, "flags": []})
+        cursor = max(cursor, b)
     return out
 
 

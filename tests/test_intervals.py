@@ -1,3 +1,5 @@
+from itertools import accumulate, groupby
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,23 +60,23 @@ def test_outside_is_strict(spark):
     assert spans(intervals.outside(lines, frame(spark, [(0, 5.0, 9.0)]), K, width=3.0)) == [(0, 0.0, 5.0), (1, 0.0, 1.0)]
 
 
+def runs(flags):
+    """Half-open runs of true flags."""
+    at, out = 0, []
+    for on, group in groupby(flags):
+        n = len(list(group))
+        out += [(at, at + n)] if on else []
+        at += n
+    return out
+
+
 def plain_regions(values, enter, leave, gap, least):
-    found, active, start = [], False, 0
-    for i, v in enumerate(values):
-        if not active and v >= enter:
-            active, start = True, i
-        elif active and v < leave:
-            active = False
-            found.append([start, i])
-    if active:
-        found.append([start, len(values)])
-    merged = []
-    for s, e in found:
-        if merged and s - merged[-1][1] < gap:
-            merged[-1][1] = e
-        else:
-            merged.append([s, e])
-    return [(s, e) for s, e in merged if e - s >= least]
+    """States by folding, then gaps closed on the flags themselves."""
+    on = list(accumulate(values, lambda was, v: True if v >= enter else was and v >= leave, initial=False))[1:]
+    for s, e in runs([not x for x in on]):
+        if 0 < s and e < len(on) and e - s < gap:
+            on[s:e] = [True] * (e - s)
+    return [(s, e) for s, e in runs(on) if e - s >= least]
 
 
 @settings(max_examples=8, deadline=None)
@@ -86,29 +88,20 @@ def test_activity_regions_property(spark, tracks):
     assert sorted((r.k, r.start, r.end, round(r["mean"], 9)) for r in got) == sorted((*w[:3], round(w[3], 9)) for w in want)
 
 
+def cells(spans, size=60):
+    return [any(s <= x < e for s, e in spans) for x in range(size)]
+
+
 def plain_union(xs):
-    out = []
-    for s, e in sorted(xs):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return out
+    """On a grid of whole seconds, which all test spans keep to."""
+    return [(float(s), float(e)) for s, e in runs(cells(xs))]
 
 
 def plain_subtract(regions, covers, least):
-    out = []
+    out, covered = [], cells(covers)
     for r0, r1 in regions:
-        gaps, at = [], r0
-        for s, e in plain_union(covers):
-            if e <= at or s >= r1:
-                continue
-            if s > at:
-                gaps.append((at, min(s, r1)))
-            at = max(at, e)
-        if at < r1:
-            gaps.append((at, r1))
-        out += [g for g in gaps if gaps == [(r0, r1)] or g[1] - g[0] >= least]
+        left = [(float(s), float(e)) for s, e in runs([not c and r0 <= x < r1 for x, c in enumerate(covered)])]
+        out += [g for g in left if g == (r0, r1) or g[1] - g[0] >= least]
     return out
 
 
