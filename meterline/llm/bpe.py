@@ -28,7 +28,9 @@ from .workspace import table
 
 MODEL = "word_bpe_49k.json"
 #: So many words of at most so many characters, and so many pairs, are remembered by a worker.
-REMEMBERED, REMEMBERED_CHARS, PAIRS = 200_000, 48, 1_000_000
+REMEMBERED, REMEMBERED_CHARS, PAIRS = 60_000, 48, 1_000_000
+#: Pairs that earlier tasks of this worker have merged, by vocabulary file: (codes, compatible).
+_SEEN: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 _BEYOND = regex.compile("[԰-\U0010ffff]")
 
 
@@ -56,7 +58,8 @@ class Codec:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in bpe["merges"]]
         self.ranks = {pair: rank for rank, pair in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
-        self.names = pa.array(self._names(), pa.string())
+        self.name_of = self._names()
+        self.names = pa.array(self.name_of, pa.string())
         self.words_of = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special_of = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.letters = dict(enumerate(_byte_letters()))
@@ -67,10 +70,9 @@ class Codec:
             self.automaton.add_word(key, (len(key), i))
         self.automaton.make_automaton()
         #: Pairs seen so far, sorted, and whether each is compatible.
-        self.pairs, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.pairs, self.fits = _SEEN.get(model, (np.zeros(0, np.int64), np.zeros(0, bool)))
         #: Ids of words seen so far, as bytes of 32-bit integers.
         self.known: dict[str, bytes] = {}
-        self.texts = {i: t for t, i in self.vocabulary.items()}
         self.library = None
         from tokenizers import Tokenizer, models
 
@@ -87,7 +89,7 @@ class Codec:
     # Exact merging
 
     def _symbols(self, i: int) -> list[str]:
-        text = self.texts[i]
+        text = self.name_of[i]
         if text.endswith(self.end) and len(text) > len(self.end):
             text = text[: -len(self.end)]
             return [*text[:-1], text[-1] + self.end]
@@ -134,6 +136,7 @@ class Codec:
                 fits[k] = self.merge([s for i in ids for s in self._symbols(i)]) == ids
             place = np.searchsorted(self.pairs, new)
             self.pairs, self.fits = np.insert(self.pairs, place, new), np.insert(self.fits, place, fits)
+            _SEEN[self.path] = self.pairs, self.fits
             at = np.searchsorted(self.pairs, codes)
         return self.fits[at]
 
@@ -237,7 +240,7 @@ def encode_decode(docs: DataFrame, *, model: str | None = None) -> DataFrame:
     over Arrow batches, no shuffle; ``model`` is a path that every executor can open, by default the installed file.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return blocks.map_arrow(texts, _coded(model, 2 << 20), "doc_id long, ids array<int>, decoded string")
+    return blocks.map_arrow(texts, _coded(model, 1 << 20), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(coded: DataFrame) -> DataFrame:

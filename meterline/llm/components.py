@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import BROADCAST_ROWS, Workspace
 
 
 def connected_components(edges: DataFrame, ws: Workspace) -> DataFrame:
@@ -17,13 +17,15 @@ def connected_components(edges: DataFrame, ws: Workspace) -> DataFrame:
     """
     now = ws.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star-0")
     before, turn = None, 0
+    # Minima of few nodes go to every task, so that no hub's edges meet in one; beyond that both sides are shuffled.
+    side = F.broadcast if now.count() <= BROADCAST_ROWS // 8 else lambda df: df
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(side(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         # v <= u holds on every edge by now, so a node's smaller neighbours are exactly its edges.
-        small = large.join(low, "u").select("v", "m").where("v <> m").union(low)
+        small = large.join(side(low), "u").select("v", "m").where("v <> m").union(low)
         turn += 1
         now = ws.write(small.toDF("u", "v").distinct(), f"star-{turn}")
         ws.drop(f"star-{turn - 1}")
