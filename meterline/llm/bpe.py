@@ -28,7 +28,7 @@ from .workspace import table
 
 MODEL = "word_bpe_49k.json"
 #: So many words of at most so many characters, and so many pairs, are remembered by a worker.
-REMEMBERED, REMEMBERED_CHARS, PAIRS = 60_000, 48, 1_000_000
+REMEMBERED, REMEMBERED_CHARS, PAIRS = 120_000, 48, 1_000_000
 #: Pairs that earlier tasks of this worker have merged, by vocabulary file: (codes, compatible).
 _SEEN: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 _BEYOND = regex.compile("[԰-\U0010ffff]")
@@ -240,7 +240,7 @@ def encode_decode(docs: DataFrame, *, model: str | None = None) -> DataFrame:
     over Arrow batches, no shuffle; ``model`` is a path that every executor can open, by default the installed file.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return blocks.map_arrow(texts, _coded(model, 1 << 20), "doc_id long, ids array<int>, decoded string")
+    return blocks.map_arrow(texts, _coded(model, 2 << 20), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(coded: DataFrame) -> DataFrame:
