@@ -153,9 +153,14 @@ def best_window(wanted: list[str], stream: list[str], starts: range) -> tuple[fl
     first, and the shortest of those. (0, 0, 0) without windows.
 
     Two texts can't be more alike than their lengths allow, so windows are scored from the highest such bound down, and the
-    search ends where the bound falls under the best score.
+    search ends where the bound falls under the best score. A window of just these tokens can't be beaten and is looked for first;
+    with blanks in the stream a longer one might start before it, so then it isn't.
     """
-    target = _sorted_text(wanted)
+    target, same = _sorted_text(wanted), sorted(wanted)
+    if "" not in stream[starts.start : starts.stop + len(wanted)]:
+        for a in starts:
+            if sorted(stream[a : a + len(wanted)]) == same:
+                return 1.0, a, a + len(wanted)
     sizes = range(max(1, len(wanted) - 2), len(wanted) + 4)
     windows = []
     for a in starts:
