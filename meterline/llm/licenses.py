@@ -1,4 +1,4 @@
-"""License scans: text units compared with license templates by the Dice coefficient over word bigrams.
+"""License scans: text units and runs of words compared with license templates by the Dice coefficient over word bigrams.
 
 Units are the lines, the blocks between blank lines, and the whole text. A unit is lower-cased, everything but a-z and
 digits separates words, and its set of word bigrams is compared with each template whose size allows the wanted Dice value:
@@ -6,12 +6,20 @@ digits separates words, and its set of word bigrams is compared with each templa
 outside the bounds of all templates are dropped. Before that, texts and units without any marker word are: a match of Dice t
 shares more than t/(2-t) of a template's bigrams, and markers are chosen so that fewer than that lack them, so nothing is lost.
 
+A license of several paragraphs amid other text, or a notice inside a longer line, is no unit. Where no unit matches, runs are
+compared: neighbouring lines (blank ones don't count) within the size bounds, and words, across lines and blocks, of at least
+the template's number and at most (2-t)/t of its bigrams, beginning with one of the template's bigrams or ending the text.
+Shorter runs of words aren't taken: without its last word, another version's notice would match. Only templates of which the
+text holds t/(2-t) of the bigrams are looked at, which every match does.
+
 DataFrame functions only, one pass, no shuffle.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,12 +150,80 @@ def _best(units: Column, match: float, templates: tuple[tuple[str, str], ...]) -
     return F.array_max(F.array_compact(F.transform(units, compare)))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _best_run(low: Column, match: float, templates: tuple[tuple[str, str], ...]) -> Column:
+    """(dice, -template, license) of the best template for any run of the lower-cased text ``low``; null below ``match``."""
+    known, union = [], set()
+    for i, (name, text) in enumerate(templates):
+        grams = bigrams_of(text)
+        least, most = max(1, math.ceil(len(grams) * match / (2 - match) - 1e-9)), int(len(grams) * (2 - match) / match + 1e-9)
+        numbers = {"rank": -i, "license": name, "size": len(grams), "least": least, "most": most, "usual": len(normal_words(text)) - 1}
+        known.append(F.struct(*(F.lit(v).alias(k) for k, v in numbers.items()), F.array(*(F.lit(g) for g in grams)).alias("grams")))
+        union |= set(grams)
+
+    def of_template(grams: Column, t: Column, at: Column, heads: Column, tails: Column) -> Column:
+        """Best Dice value. ``at``: places of the template's bigrams among ``grams``; lines go from word ``heads`` to ``tails``."""
+
+        def better(best: Column, held: Column | None, first: Column, last: Column) -> Column:
+            run = F.slice(grams, first + 1, last - first + 1)
+            dice = F.greatest(best, 2.0 * F.size(F.array_intersect(run, t["grams"])) / (F.size(F.array_distinct(run)) + t["size"]))
+            if held is None:
+                return dice
+            # A run that holds so many template bigrams reaches 2 held / (held + size) at most.
+            most = F.least(held, t["size"])
+            return F.when(2.0 * most / (most + t["size"]) > best, dice).otherwise(best)
+
+        def words_from(best: Column, a: Column) -> Column:
+            first = F.least(at[a], F.greatest(F.size(grams) - t["usual"], F.lit(0)))
+            usual_end = first + t["usual"] - 1
+            ends = F.sequence(a + t["least"] - 1, F.least(F.size(at) - 1, a + t["most"] - 1))
+            fits = F.filter(ends, lambda b: (at[b] - first < F.greatest(t["most"], t["usual"])) & ((b == F.size(at) - 1) | (F.get(at, b + 1) > usual_end)))
+            return F.when(best < 1, F.aggregate(fits, best, lambda x, b: better(x, b - a + 1, first, F.greatest(at[b], usual_end)))).otherwise(best)
+
+        def lines_from(best: Column, a: Column) -> Column:
+            ends = F.sequence(a, F.least(F.size(heads) - 1, a + t["most"]))
+            fits = F.filter(ends, lambda b: (tails[b] - heads[a]).between(t["least"], t["most"]))
+            return F.when(best < 1, F.aggregate(fits, best, lambda x, b: better(x, None, heads[a], tails[b] - 1))).otherwise(best)
+
+        by_words = F.aggregate(F.sequence(F.lit(0), F.size(at) - t["least"]), F.lit(0.0), words_from)
+        lines = F.sequence(F.lit(0), F.size(heads) - 1)
+        enough = F.filter(lines, lambda a: F.size(F.filter(at, lambda p: (p >= heads[a]) & (p < heads[a] + t["most"]))) >= t["least"])
+        return F.aggregate(enough, by_words, lines_from)
+
+    def of_text(grams: Column, words: Column) -> Column:
+        placed = F.filter(F.transform(grams, lambda g, i: F.struct(i.alias("at"), g.alias("gram"))), lambda p: p["gram"].isin(sorted(union)))
+
+        def of_places(places: Column) -> Column:
+            near = _let(F.array_distinct(places["gram"]), lambda some: F.filter(F.array(*known), lambda t: F.size(F.array_intersect(some, t["grams"])) >= t["least"]))
+            places_of = lambda t: F.filter(places, lambda p: F.array_contains(t["grams"], p["gram"]))["at"]
+            index = F.sequence(F.lit(0), F.size(words) - 1)
+            heads = F.filter(index, lambda i: (i == 0) | (F.get(words, i - 1)["line"] != words[i]["line"]))
+            tails = F.filter(index, lambda i: (i == F.size(words) - 1) | (F.get(words, i + 1)["line"] != words[i]["line"]))
+
+            def compare(t: Column) -> Column:
+                dice = _let(places_of(t), lambda at: _let(heads, lambda h: _let(tails, lambda e: of_template(grams, t, at, h, e))))
+                return _let(dice, lambda d: F.when(d >= match, F.struct(d.alias("dice"), t["rank"].alias("rank"), t["license"].alias("license"))))
+
+            return F.array_max(F.array_compact(F.transform(near, compare)))
+
+        return _let(placed, of_places)
+
+    in_line = lambda x, i: F.transform(F.filter(F.split(x, "[^a-z0-9]+"), lambda w: w != ""), lambda w: F.struct(w.alias("word"), i.alias("line")))
+    words = F.flatten(F.transform(F.split(low, "\n"), in_line))
+    pairs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", w[i]["word"], w[i + 1]["word"]))
+    return _let(words, lambda w: F.when(F.size(w) > 1, _let(pairs(w), lambda g: of_text(g, w))))
+
+
 def license_scan(docs: DataFrame, *, match: float = MATCH, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(doc_id, license, dice, n_units) for each row of ``docs`` (doc_id, text; more columns are ignored).
 
-    license is that of the best unit and template with a Dice value of at least ``match``, null where none reaches it (then dice is
-    null as well); ties go to the template that stands first. n_units counts the distinct units that hold a
-    marker word and are within the size bounds. Whole texts are scanned. Null or empty texts have no units. Repeated rows give repeated rows; an empty table gives none.
+    license is that of the best unit and template with a Dice value of at least ``match``, or else of the best run and template,
+    null where none reaches it (then dice is null as well); ties go to the template that stands first. n_units counts the distinct units, not runs, that
+    hold a marker word and are within the size bounds. Whole texts are scanned. Null or empty texts have no units. Repeated rows give repeated rows; an empty table gives none.
     """
     low, high = _bounds(match, templates)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -157,8 +233,10 @@ def license_scan(docs: DataFrame, *, match: float = MATCH, templates: tuple[tupl
     units = base.withColumn("_low", F.lower("_text")).withColumn("_units", F.expr(f"if({marked('_low')}, {parts}, array())"))
     words = units.withColumn("_words", F.expr(f"filter(transform(_units, u -> filter(split(u, '[^a-z0-9]+'), w -> w != '')), w -> size(w) > {low})"))
     grams = F.expr(f"filter(transform(_words, w -> array_distinct(transform(sequence(0, size(w) - 2), i -> w[i] || ' ' || w[i + 1]))), g -> size(g) between {low} and {high})")
-    held = words.select("doc_id", grams.alias("_grams"))
-    best = held.select("doc_id", F.size("_grams").cast("long").alias("n_units"), _best(F.col("_grams"), match, templates).alias("_b"))
+    held = words.select("doc_id", "_low", grams.alias("_grams"))
+    units = held.select("doc_id", "_low", F.size("_grams").cast("long").alias("n_units"), _best(F.col("_grams"), match, templates).alias("_unit"))
+    run = F.when(F.expr(marked("_low")), _best_run(F.col("_low"), match, templates))
+    best = units.select("doc_id", "n_units", F.when(F.col("_unit.dice") >= match, F.col("_unit")).otherwise(run).alias("_b"))
     hit = F.col("_b.dice") >= match
     return best.select("doc_id", F.when(hit, F.col("_b.license")).alias("license"), F.when(hit, F.col("_b.dice")).alias("dice"), "n_units")
 

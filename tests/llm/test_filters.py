@@ -171,6 +171,22 @@ def test_licenses(spark, make_docs):
     assert [got[i][0] for i in range(len(licenses.TEMPLATES))] == [n for n, _ in licenses.TEMPLATES]
 
 
+def test_licenses_in_paragraphs_and_lines(make_docs):
+    around = [" ".join(f"{side}{i}" for i in range(300)) for side in ("before", "after")]
+    texts = [f"{around[0]}\n\n{re.sub('[.:;] ', lambda m: m[0] + chr(10) * 2, t)}\n\n{around[1]}" for _, t in licenses.TEMPLATES]
+    texts += [f"{around[0]} {t} {around[1]}" for _, t in licenses.TEMPLATES]
+    names = [n for n, _ in licenses.TEMPLATES] * 2
+    mit, apache = licenses.TEMPLATES[2][1].split(), licenses.TEMPLATES[3][1]
+    # Words put in all over, and a license that lacks a quarter, whose lines are a run; then what must stay unmatched.
+    texts += [f"{around[0]} {' '.join(w if i % 14 else w + ' extra' for i, w in enumerate(mit))} {around[1]}", "\n\n".join([around[0], *(" ".join(mit[i : i + 20]) for i in range(0, 120, 20)), around[1]])]
+    texts += [f"{around[0]} {apache.replace('2.0', '1.0')} {around[1]}", f"{around[0]} {' '.join(mit[:60])} {around[1]}", f"all {around[0]} rights reserved"]
+    got = {r.doc_id: (r.license, r.dice, r.n_units) for r in licenses.license_scan(make_docs(texts)).collect()}
+    assert [got[i][0] for i in range(len(texts))] == names + ["MIT", "MIT", None, None, None]
+    # Some notices of two sentences match by the longer one, which is a unit.
+    assert all(got[i][1] == 1.0 or got[i][1] == plain_license(texts[i])[1] for i in range(len(names)))
+    assert {plain_license(t)[0] for t in texts[len(licenses.TEMPLATES) :]} == {None}
+
+
 def test_markers_lose_nothing():
     marks = set(licenses.markers(licenses.MATCH, licenses.TEMPLATES))
     for _, t in licenses.TEMPLATES:
