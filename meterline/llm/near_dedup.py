@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, block
     Two documents are linked when the Jaccard similarity of their sets of ``words``-word shingles is at least ``percent`` / 100;
     component_id is the smallest doc_id reachable over links, kept marks the document that carries it. A document of fewer
     words has its whole sequence as one shingle. Null or empty texts have no shingle and are linked with nothing. Rows with the
-    same doc_id are one node: each gets the same component. A null doc_id gives a null component and is kept.
+    same doc_id are one node, whatever their texts: each gets the same component. A null doc_id gives a null component and is kept.
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -194,11 +194,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, block
     filled = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = ws.write(filled.groupBy("set_a", "set_b").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "packed"), "doc_id").alias("x")).select("set_a", "set_b", "x.*"), "classes")
     # Buckets of several classes; those with the same members are one.
-    members = classes.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
-    mixed = F.xxhash64("doc_id")
+    mixed = F.xxhash64("doc_id", "set_a", "set_b")
+    members = classes.select("doc_id", "n_shingles", mixed.alias("mixed"), F.explode("bands").alias("bucket"))
     buckets = (
         members.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.bit_xor(mixed).alias("who"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+        .agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.bit_xor("mixed").alias("who"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
         .where("n > 1 and least < most")
         .groupBy("n", "who", "least", "most")
         .agg(F.min("bucket").alias("bucket"), F.min("size").alias("size"))
@@ -216,9 +216,21 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, block
     held = texts.join(wanted, "doc_id", "left_semi").join(classes.select("doc_id", "packed"), "doc_id")
     met = tasks.join(held, "doc_id").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right").select("bucket", "left", "right", "block", "doc_id", "packed", "text")
     edges = blocks.map_arrow(met, _confirm(words, percent), "a long, b long")
-    found = connected_components(edges, ws) if n else spark.createDataFrame([], "node long, component long")
+    # A class keeps its smallest doc_id only; doc_ids with several sets, an empty one among them, link their classes.
+    a_set = F.struct("set_a", "set_b")
+    several = sketches.where("doc_id is not null").groupBy("doc_id").agg(F.min(a_set).alias("low"), F.max(a_set).alias("high")).where("low < high").select("doc_id")
+    several = ws.write(several, "several")
+    if m := several.count():
+        several = F.broadcast(several) if m <= BROADCAST_ROWS else several
+        same = sketches.join(several, "doc_id", "left_semi").where("n_shingles > 0").select("doc_id", "set_a", "set_b").distinct()
+        same = same.withColumnRenamed("doc_id", "b").join(classes.select("set_a", "set_b", F.col("doc_id").alias("a")), ["set_a", "set_b"]).select("a", "b")
+        edges = edges.union(same) if n else same
+    found = connected_components(edges, ws) if n or m else spark.createDataFrame([], "node long, component long")
     known = classes.select("set_a", "set_b", F.col("doc_id").alias("node")).join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     linked = sketches.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("set_a")).alias("set_a"), "set_b").join(known, ["set_a", "set_b"], "left")
+    if m:
+        own = several.join(found.toDF("doc_id", "own"), "doc_id")
+        linked = linked.join(F.broadcast(own) if m <= BROADCAST_ROWS else own, "doc_id", "left").withColumn("component", F.coalesce("component", "own"))
     component = F.coalesce("component", "doc_id")
     return linked.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

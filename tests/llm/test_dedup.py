@@ -84,6 +84,19 @@ def test_near_dedup_edges(edge_docs, no_docs):
     assert kept.columns == edge_docs.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted([*{r.doc_id for r in got if r.kept and r.doc_id is not None}, 6])
 
 
+def test_a_repeated_id_is_one_node(make_docs):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    near = " ".join([*c.split()[:-1], "other"])
+    texts = [(1, a), (2, b), (7, a), (7, b), (3, c), (9, near), (9, None), (9, d), (12, d), (4, a + " x"), (20, "alone"), (20, None), (None, a)]
+    for rows in (texts, texts[:4], [(1, a), (7, a), (7, None)], [(5, a), (5, b)]):
+        got = near_dedup.near_duplicates(make_docs([t for _, t in rows], [i for i, _ in rows])).collect()
+        want = {1: 1, 2: 1, 7: 1, 4: 1, 3: 3, 9: 3, 12: 3, 20: 20, 5: 5, None: None}
+        assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
+    kept = near_dedup.keep_one(make_docs([t for _, t in texts], [i for i, _ in texts])).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 3, 20, 20]
+
+
 def test_estimates_are_close():
     rng = np.random.default_rng(1)
     values = np.sort(rng.integers(0, 2**63, 4000, dtype=np.uint64))
