@@ -1,13 +1,16 @@
 """Whole texts as numpy arrays: words, word hashes and word windows of an Arrow column, without a loop over words.
 
 Texts go through in chunks of bounded bytes, so memory depends on the chunk (or on the longest single text), never on the
-number of rows. Word hashes are 64-bit; equal hashes are taken as equal words.
+number of rows. A word's hash takes its bytes eight at a time and mixes after each step, so it isn't linear in the letters;
+words of more than LONG_WORD bytes are hashed by a cryptographic digest. Hashes have 64 bits: callers whose results hang on
+the identity of words compare two independent hashes or the words themselves.
 """
 
 from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,20 +19,24 @@ from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 20
 
-#: ``[^\x20\x09-\x0D]+``: everything but white space is part of a word.
-WHITESPACE = np.zeros(256, bool)
-WHITESPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing: digits, a-z and everything beyond ASCII.
-NOT_ALNUM = np.zeros(256, bool)
-NOT_ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Longer words are hashed one by one.
+LONG_WORD = 256
+
+
+def WHITESPACE(low: np.ndarray) -> np.ndarray:  # noqa: N802
+    """``[^\x20\x09-\x0D]+``: everything but white space is part of a word. Bytes that separate words."""
+    return (low == 0x20) | ((low - np.uint8(9)) < 5)
+
+
+def NOT_ALNUM(low: np.ndarray) -> np.ndarray:  # noqa: N802
+    """``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing: digits, a-z and everything beyond ASCII make words."""
+    return ~(((low - np.uint8(0x30)) < 10) | ((low - np.uint8(0x61)) < 26) | (low >= 0x80))
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+_FOLD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F))
+_LENGTH = (np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_LETTERS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -70,13 +77,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _power(which: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers[which]
-    if len(have) < n:
-        have = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, CHUNK_BYTES + 65536) - 1, base, np.uint64)]))
-        if n <= CHUNK_BYTES + 65536:
-            _powers[which] = have
-    return have[:n]
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case, and eight zeros behind them."""
+    out = np.zeros(len(data) + 8, np.uint8)
+    np.add(data, ((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5), out=out[: len(data)])
+    return out
 
 
 def returning_memory(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -119,33 +124,60 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 class Words:
     """Words of several texts. ``starts``/``ends`` are byte positions, ``first[d]`` is the index of text d's first word."""
 
-    def __init__(self, texts: pa.Array, separators: np.ndarray, hashes: bool = True):
+    def __init__(self, texts: pa.Array, separators: Callable[[np.ndarray], np.ndarray], hashes: bool = True):
         self.data, self.offsets = _parts(texts)
-        inside = ~separators[_LOWER[self.data]]
-        before = np.zeros(len(inside), bool)
-        before[1:] = inside[:-1]
-        after = np.zeros(len(inside), bool)
-        after[:-1] = inside[1:]
+        self._low = lowered(self.data)
+        self.low = self._low[: len(self.data)]
+        inside = ~separators(self.low)
         edges = self.offsets[:-1][np.diff(self.offsets) > 0]
-        before[edges] = False
-        after[edges[1:] - 1] = False
-        self.starts = np.flatnonzero(inside & ~before)
-        self.ends = np.flatnonzero(inside & ~after) + 1
+        starts, ends = inside.copy(), inside.copy()
+        starts[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+        starts[edges] = inside[edges]
+        last = self.offsets[1:][np.diff(self.offsets) > 0] - 1
+        ends[last] = inside[last]
+        self.starts = np.flatnonzero(starts)
+        self.ends = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.starts, self.offsets)
         self.counts = np.diff(self.first)
         self.text_of = np.repeat(np.arange(len(self.counts)), self.counts)
-        self._sums = None
         self.hashes = self.hash_of(self.starts, self.ends) if hashes else None
 
-    def hash_of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of the lower-cased bytes of each range, wherever it stands."""
-        n = len(self.data)
+    def heads(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The first eight lower-cased bytes of each range as an integer; a shorter range is filled up with zeros."""
+        return np.ndarray((len(self._low) - 7,), "<u8", self._low, 0, (1,))[starts] & _MASKS[np.minimum(ends - starts, 8)]
+
+    def hash_of(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+        """Hash of the lower-cased bytes of each range, wherever it stands; ``which`` chooses one of two independent hashes."""
         if not len(starts):
             return np.zeros(0, np.uint64)
-        if self._sums is None:
-            self._sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_LETTERS[_LOWER[self.data]] * _power("up", _BASE, n), out=self._sums[1:])
-        return mix((self._sums[ends] - self._sums[starts]) * _power("down", _BASE_INV, n)[starts])
+        sizes = ends - starts
+        out = mix((self.heads(starts, ends) + _LENGTH[which] * sizes.astype(np.uint64)) * _FOLD[which])
+        some = np.flatnonzero((sizes > 8) & (sizes <= LONG_WORD))
+        at = 8
+        while len(some):
+            out[some] = mix((out[some] ^ self.heads(starts[some] + at, ends[some])) * _FOLD[which] + _LENGTH[which])
+            at += 8
+            some = some[sizes[some] > at]
+        for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+            digest = hashlib.blake2b(self.low[starts[k] : ends[k]].tobytes(), digest_size=16).digest()
+            out[k] = int.from_bytes(digest[8 * which : 8 * which + 8], "little")
+        return out
+
+    def digests(self) -> list[bytes]:
+        """A 128-bit cryptographic digest of each text's words, one space between them."""
+        step = np.minimum(self.ends + 1, self.offsets[1:][self.text_of])  # behind the separator after each word
+        mark = np.zeros(len(self.data) + 1, np.int8)
+        mark[self.starts] += 1
+        mark[step] -= 1
+        kept = np.cumsum(mark[:-1], dtype=np.int8) > 0
+        plain = self.low.copy()
+        between = self.ends[self.ends < self.offsets[1:][self.text_of]] if len(self.ends) else self.ends
+        plain[between] = 0x20
+        plain = plain[kept]
+        upto = np.concatenate([[0], np.cumsum(np.bincount(self.text_of, step - self.starts, len(self.counts)).astype(np.int64))])
+        held = memoryview(plain)
+        return [hashlib.blake2b(held[a:b].tobytes().rstrip(b" "), digest_size=16).digest() for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each word on, and whether they all lie in that word's text."""

@@ -49,12 +49,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame, label: str) -> DataFrame:
     """``docs`` less the rows whose doc_id is in the one column of ``gone``; rows without doc_id stay. The ids are written and
     counted: up to BROADCAST_ROWS they are broadcast and no text moves, beyond that both sides are shuffled."""
-    column = "_gone"
-    while column in docs.columns:
-        column += "_"
+    column = free_name(docs, "gone")
     ids = Workspace(docs.sparkSession, label).write(gone.toDF(column).where(f"{column} is not null").distinct(), "gone")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)

@@ -121,24 +121,123 @@ def test_without_shuffles_when_there_are_many(make_docs, monkeypatch):
         assert sorted(r.text for r in without(docs, gone, "test").collect()) == ["b", "c"]
 
 
-LONG = " ".join(f"passage{i}" for i in range(60))
+def plain_units(text):
+    """Units of a text word by word: (start, end, words, opens its line, closes its line, bytes up to the next word)."""
+    data, out = text.encode(), []
+    words = [(m.start(), m.end(), m.group().translate(LOWER_BYTES)) for m in re.finditer(rb"[^\x20\x09-\x0d]+", data)]
+    line = [data[:s].count(b"\n") for s, _, _ in words]
+    reach = substring_dedup.REACH
+
+    def key(i):
+        behind = i and line[i - 1] == line[i] and words[i - 1][2][-1:] in (b".", b"!", b"?")
+        head, tail = int.from_bytes(words[i][2][:8].ljust(8, b"\0"), "big"), int.from_bytes(words[i][2][-8:], "big")
+        prime = substring_dedup.PRIME
+        return (head % prime * substring_dedup.HEAD + tail % prime * substring_dedup.TAIL) % prime + (0 if behind else substring_dedup.INSIDE)
+
+    keys, cuts = [key(i) for i in range(len(words))], []
+    for i in range(len(words)):
+        near = [j for j in range(i - reach, i + reach + 1) if 0 <= j < len(words) and line[j] == line[i]]
+        least = len(near) == 2 * reach + 1 and all(keys[j] > keys[i] for j in near if j < i) and all(keys[j] >= keys[i] for j in near)
+        if not i or line[i - 1] != line[i] or least:
+            cuts.append(i)
+    for a, b in zip(cuts, [*cuts, len(words)][1:], strict=True) if cuts else []:
+        after = words[b][0] if b < len(words) else len(data)
+        out.append((words[a][0], words[b - 1][1], tuple(w for _, _, w in words[a:b]), not a or line[a - 1] != line[a], b == len(words) or line[b] != line[a], after - words[b - 1][1]))
+    return out
 
 
-def test_passages(make_docs):
-    half = " ".join(f"half{i}" for i in range(18))
-    texts = [f"own start\n{LONG}\nend", f"{LONG.upper()}  \nother", f"x\n{half}\n{half}b\ny", f"z\n{half}\n{half}b", f"short\n{half}", f"{LONG}\n{LONG}"]
+def plain_passages(texts, min_words=substring_dedup.MIN_WORDS):
+    """For each document its passages to remove, as lists of (unit, earliest document, earliest unit)."""
+    first, out = {}, {}
+    for i in sorted(texts):
+        runs, units = [[]], plain_units(texts[i] or "")
+        for k, u in enumerate(units):
+            if u[2] in first:
+                runs[-1].append((k, *first[u[2]]))
+            else:
+                first[u[2]] = (i, k)
+                runs.append([])
+        out[i] = [r for r in runs if sum(len(units[k][2]) for k, _, _ in r) >= min_words]
+    return out
+
+
+def plain_cut(texts, min_words=substring_dedup.MIN_WORDS):
+    out = {}
+    for i, passages in plain_passages(texts, min_words).items():
+        if not passages:
+            out[i] = texts[i]
+            continue
+        data, left, at, units = texts[i].encode(), b"", 0, plain_units(texts[i])
+        for run in passages:
+            a, b = units[run[0][0]], units[run[-1][0]]
+            left, at = left + data[at : a[0]], b[1] + (b[5] if a[3] or not b[4] else 0)
+        out[i] = (left + data[at:]).decode()
+    return out
+
+
+LOWER_BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+LONG = " ".join(f"passage{i * 7919 % 1000}" for i in range(60))
+
+
+def invented(n, seed):
+    """Texts of lines and sentences; every third text takes a passage of 51 to 90 words over from an earlier one, at any word."""
+    rng, out = random.Random(seed), []
+    name = lambda: "".join(rng.choice("abcdefghiklmnoprstuvéß") for _ in range(rng.randrange(2, 10)))
+    common = [name() for _ in range(400)]
+    planted = {}
+    for i in range(n):
+        words = []
+        for _ in range(rng.randrange(80, 300)):
+            w = rng.choice(common) if rng.random() < 0.6 else name()
+            words.append(rng.choice([w, w, w, w, w, w.title(), w + ",", w + ".", w + ".\n", w + "\n"]) if rng.random() < 0.4 else w)
+        if i % 3 == 2:
+            source = rng.choice([t for k, t in enumerate(out) if k % 3 != 2])
+            size = rng.randrange(51, 91)
+            if len(source) > size:
+                a, b = rng.randrange(len(source) - size), rng.randrange(len(words))
+                words[b:b] = source[a : a + size]
+                planted[i] = size
+        out.append(words)
+    return [" ".join(w).replace("\n ", "\n") for w in out], planted
+
+
+def check_passages(make_docs, texts, **more):
     docs = make_docs(texts)
-    got = {(r.doc_id, r.line): (r.start, r.end, r.first_doc_id, r.first_line) for r in substring_dedup.repeated_passages(docs).collect()}
-    size = len(LONG)
-    assert got == {
-        (1, 0): (0, size + 2, 0, 1),
-        (3, 1): (2, 2 + len(half), 2, 1),
-        (3, 2): (3 + len(half), 4 + 2 * len(half), 2, 2),
-        (5, 0): (0, size, 0, 1),
-        (5, 1): (size + 1, 2 * size + 1, 0, 1),
-    }
-    left = {r.doc_id: (r.text, r.n_chars) for r in substring_dedup.without_repeats(docs).collect()}
-    assert left == {0: (texts[0], len(texts[0])), 1: ("other", 5), 2: (texts[2], len(texts[2])), 3: ("z\n", 2), 4: (texts[4], len(texts[4])), 5: ("", 0)}
+    want = {(i, u, d, k) for i, runs in plain_passages(dict(enumerate(texts)), **more).items() for r in runs for u, d, k in r}
+    got = substring_dedup.repeated_passages(docs, **more).collect()
+    assert {(r.doc_id, r.unit, r.first_doc_id, r.first_unit) for r in got} == want and len(got) == len(want)
+    for r in got:
+        assert (r.start, r.end) == plain_units(texts[r.doc_id])[r.unit][:2]
+    cut = substring_dedup.without_repeats(docs, **more).collect()
+    assert {r.doc_id: r.text for r in cut} == plain_cut(dict(enumerate(texts)), **more)
+    assert all(r.n_chars == len(r.text) for r in cut if r.text is not None)
+    return got
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_passages_inside_lines(make_docs, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", 0)
+    texts, planted = invented(90, 11)
+    found = defaultdict(int)
+    for r in check_passages(make_docs, texts):
+        found[r.doc_id] = max(found[r.doc_id], r.passage_words)
+    assert len(planted) > 20
+    assert sum(i in found for i in planted) >= 0.95 * len(planted)
+    assert not set(found) - set(planted)
+
+
+def test_passages(make_docs):
+    half = " ".join(f"half{i * 31 % 97}" for i in range(18))
+    turned = LONG.replace(" ", "\n", 30).replace("\n", " ", 29)
+    texts = [f"own start\n{LONG}\nend", f"{LONG.upper()}  \nother", f"x\n{half}\n{half}b\ny", f"z\n{half}\n{half}b", f"short\n{half}", f"{LONG}\n{LONG}", None, ""]
+    texts += [f"before it {LONG} and behind", f"a {LONG} b {LONG} c", f"{turned} z", f"q {turned}\nz", f"one two three {LONG}\nfinish"]
+    check_passages(make_docs, texts)
+    check_passages(make_docs, texts, min_words=1)
+    left = {r.doc_id: r.text for r in substring_dedup.without_repeats(make_docs(texts)).collect()}
+    assert (left[0], left[1], left[3], left[4], left[5]) == (texts[0], "other", "z\n", texts[4], "")
+    assert left[8].startswith("before it") and left[8].endswith("and behind") and len(left[8]) < 200
+    assert left[12].endswith("\nfinish")
 
 
 def test_offsets_are_bytes(make_docs):
@@ -146,15 +245,39 @@ def test_offsets_are_bytes(make_docs):
     docs = make_docs([f"ß\n{line}", f"日本\n{line}\nq"])
     (r,) = substring_dedup.repeated_passages(docs).collect()
     text = f"日本\n{line}\nq".encode()
-    assert text[r.start : r.end].decode() == line
+    assert text[r.start : r.end].decode() == line.rstrip()
     assert {x.doc_id: x.text for x in substring_dedup.without_repeats(docs).collect()}[1] == "日本\nq"
 
 
 def test_passage_edges(edge_docs, no_docs):
     got = substring_dedup.repeated_passages(edge_docs).collect()
-    assert [(r.doc_id, r.line, r.first_line) for r in got] == [(11, 1, 0)]
+    assert {r.doc_id for r in got} == {10, 11}  # one counts its words round and round, the other holds a line twice
     assert substring_dedup.repeated_passages(no_docs).count() == substring_dedup.without_repeats(no_docs).count() == 0
+    for name in ("_id", "_cuts", "_bytes", "version", "cuts", "bytes", "of", "Cuts_", "a.b", "unit", "digest_a", "run"):
+        edge_docs = edge_docs.withColumn(name, F.lit(7)) if name.lower() not in {c.lower() for c in edge_docs.columns} else edge_docs
     left = substring_dedup.without_repeats(edge_docs)
     assert left.columns == edge_docs.columns and left.count() == edge_docs.count()
+    assert all(r["bytes"] == r["version"] == r["_bytes"] == r["a.b"] == 7 for r in left.collect())
     changed = left.join(edge_docs.select("doc_id", F.col("text").alias("was")).distinct(), "doc_id").where("text <> was")
-    assert [r.doc_id for r in changed.collect()] == [11]
+    assert {r.doc_id for r in changed.select("doc_id").collect()} == {10, 11}
+
+
+def test_rows_with_one_doc_id(make_docs):
+    """Equal rows are one document; different texts under one id are different documents."""
+    texts = [(1, LONG), (1, LONG), (2, f"other start {LONG}"), (2, f"日本 {LONG}"), (None, LONG), (3, "alone")]
+    docs = make_docs([t for _, t in texts], [i for i, _ in texts])
+    assert {r.doc_id for r in substring_dedup.repeated_passages(docs).collect()} == {2}
+    left = sorted((r.doc_id or 0, r.text) for r in substring_dedup.without_repeats(docs).collect())
+    assert left[:3] == [(0, LONG), (1, LONG), (1, LONG)] and len(left) == 6
+    assert all(len(t) < 100 for i, t in left if i == 2)
+
+
+def test_hashes_keep_words_apart(make_docs):
+    """Sequences that linear hashes modulo 2^64 take for equal."""
+    turns = ["".join("ab"[(bin(i).count("1") + k) % 2] for i in range(n)) for n in (1024, 4096) for k in (0, 1)]
+    texts = [f"{t} {' '.join(f'{t}{i}' for i in range(40))}" for t in turns]
+    texts += [" ".join(("left", "right")[(bin(i).count("1") + k) % 2] for i in range(4096)) for k in (0, 1)]
+    got = near_dedup.near_duplicates(make_docs(texts)).collect()
+    assert {r.component_id for r in got if r.doc_id < 4} == set(range(4))
+    rows = [r for r in substring_dedup.repeated_passages(make_docs(texts)).collect() if r.doc_id != r.first_doc_id]
+    assert rows == []

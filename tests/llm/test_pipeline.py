@@ -2,10 +2,10 @@ import re
 
 import corpus_pipeline
 import __spark_entry__
-from meterline.llm import decontaminate, near_dedup, registry, substring_dedup, toxicity
+from meterline.llm import decontaminate, near_dedup, registry, toxicity
 
 from ..conftest import DATA
-from .test_dedup import plain_components
+from .test_dedup import plain_components, plain_cut
 from .test_filters import plain_hits
 
 
@@ -45,33 +45,6 @@ def shares(text, item):
     return bool(long(text) & long(item))
 
 
-def plain_cut(texts):
-    first, out = {}, {}
-    words = lambda x: re.findall("[^\x20\x09-\x0d]+", x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-    for i in sorted(texts):
-        rows = [(x, words(x)) for x in texts[i].split("\n")]
-        again = []
-        for x, w in rows:
-            key = tuple(w)
-            again.append(bool(w) and key in first)
-            if w:
-                first.setdefault(key, i)
-        held, run, gone = [k for k, (_, w) in enumerate(rows) if w], [], set()
-        for k in [*held, None]:
-            if k is not None and again[k]:
-                run.append(k)
-                continue
-            if sum(len(rows[j][1]) for j in run) >= substring_dedup.MIN_WORDS:
-                gone |= set(run)
-            run = []
-        text, size = "", len(rows)
-        for k, (x, _) in enumerate(rows):
-            if k not in gone:
-                text += x + ("\n" if k < size - 1 else "")
-        out[i] = text
-    return out
-
-
 def test_all_are_registered():
     names = __spark_entry__.queries()
     assert set(registry.QUERIES) | {"pipeline"} <= set(names)
