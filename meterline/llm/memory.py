@@ -36,7 +36,14 @@ def keys_of(view: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return out
 
 
-class _Slots:
+def hashes(keys: np.ndarray) -> np.ndarray:
+    total = keys[0] * _ODD[0]
+    for lane in range(1, len(keys)):
+        total = total ^ (keys[lane] * _ODD[lane] + (total >> np.uint64(29)))
+    return mix(total)
+
+
+class Slots:
     """Open addressing over lanes of keys; keys are only ever added."""
 
     def __init__(self, lanes: int, capacity: int):
@@ -93,18 +100,11 @@ class Memory:
 
     def __init__(self, capacity: int, lanes: int = LANES):
         self.lanes, self.room = lanes, max(1, capacity // 2)
-        self.young, self.old = _Slots(lanes, self.room), None
-
-    @staticmethod
-    def hashes(keys: np.ndarray) -> np.ndarray:
-        total = keys[0] * _ODD[0]
-        for lane in range(1, len(keys)):
-            total = total ^ (keys[lane] * _ODD[lane] + (total >> np.uint64(29)))
-        return mix(total)
+        self.young, self.old = Slots(lanes, self.room), None
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Value of each key (lanes x n), -1 where it isn't remembered."""
-        at = self.hashes(keys)
+        at = hashes(keys)
         out = self.young.find(keys, at)
         if self.old is not None and len(miss := np.flatnonzero(out < 0)):
             older = self.old.find(keys[:, miss], at[miss])
@@ -120,8 +120,8 @@ class Memory:
         for lo in range(0, keys.shape[1], self.room):
             some, told = keys[:, lo : lo + self.room], values[lo : lo + self.room]
             if self.young.held + some.shape[1] > self.room:
-                self.old, self.young = self.young, _Slots(self.lanes, self.room)
-            self.young.add(some, self.hashes(some), told)
+                self.old, self.young = self.young, Slots(self.lanes, self.room)
+            self.young.add(some, hashes(some), told)
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
