@@ -57,7 +57,7 @@ def copies(n_groups, size, seed, words=60):
     return out
 
 
-@pytest.mark.parametrize("block", [near_dedup.BLOCK_DOCS, 7])
+@pytest.mark.parametrize("block", [near_dedup.BLOCK_DOCS, 7, 2])
 def test_components_are_those_of_all_pairs(make_docs, block):
     texts = [*copies(12, 60, 5), "one two", "ONE two", "three", "", None, " "]
     texts += texts[:9]
@@ -66,6 +66,40 @@ def test_components_are_those_of_all_pairs(make_docs, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_a_large_group_moves_few_texts(make_docs, monkeypatch):
+    """Near copies that all differ: what the rounds move grows with the table, not with its square."""
+    moved = {}
+    tested = near_dedup._tested
+
+    def counted(ws, name, texts, classes, rows, k, percent):
+        moved[name] = rows.count()
+        return tested(ws, name, texts, classes, rows, k, percent)
+
+    monkeypatch.setattr(near_dedup, "_tested", counted)
+    rng, base, per_doc = random.Random(2), [f"w{i * 7919 % 1000}" for i in range(120)], []
+    for n in (1200, 5000):
+        texts = []
+        for i in range(n):
+            mine = base[:]
+            mine[rng.randrange(120)] = f"x{i}"
+            texts.append(" ".join(mine))
+        texts[7] = "unlike the others"
+        moved.clear()
+        got = near_dedup.near_duplicates(make_docs(texts), percent=80, block_docs=100).collect()
+        assert {r.component_id for r in got} == {0, 7}
+        per_doc.append(sum(moved.values()) / n)
+    assert per_doc[1] <= 1.2 * per_doc[0] and per_doc[1] < 8
+
+
+def test_a_large_bucket_without_links_is_tested_whole(make_docs):
+    """Texts that share much but not enough, in blocks of seven, and one pair among them that is linked."""
+    common = [f"c{i * 31 % 97}" for i in range(60)]
+    texts = [" ".join([*common, *(f"d{i}n{j}" for j in range(30))]) for i in range(60)]
+    texts += [" ".join([*texts[17].split()[:-1], "last"]), " ".join(common)]
+    got = near_dedup.near_duplicates(make_docs(texts), percent=85, block_docs=7).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(dict(enumerate(texts)), 85)
+
+
 def test_query_on_the_smallest_tables(spark):
     got = near_dedup.op3_minhash_near_dedup(spark, str(DATA)).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
