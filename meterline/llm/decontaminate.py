@@ -2,7 +2,7 @@
 
 Fingerprints of a text are the hashes of its k-word grams that are the smallest in some run of ``guarantee - k + 1`` grams, so
 every shared span of ``guarantee`` words shares a fingerprint. The fingerprints of documents are joined with those of the
-benchmark, and each hit is extended to the benchmark windows around it. Benchmark items of fewer words than a window are one
+benchmark, and each hit is extended to the benchmark windows around it, which are then compared word by word. Benchmark items of fewer words than a window are one
 window each and are looked up by their own length.
 """
 
@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import blocks
 from .workspace import Workspace, table, without
@@ -50,12 +51,15 @@ def fingerprints(grams: np.ndarray, inside: np.ndarray, first: np.ndarray, span:
 class Benchmark:
     """Windows and fingerprints of benchmark items as sorted arrays."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], window: int = WINDOW, gram: int = GRAM):
+    def __init__(self, ids: list, texts: list[str | None], window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram, self.span = window, gram, window - gram + 1
-        words = blocks.Words(pa.array(texts, pa.string()), blocks.NOT_ALNUM)
-        #: By length: sorted window hashes and, beside them, the item of each.
-        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        of = np.array(ids, np.int64)
+        self.words = words = blocks.Words(pa.array(texts, pa.string()), blocks.NOT_ALNUM)
+        #: Distinct ids in ascending order; items are numbers of these.
+        self.ids = sorted(set(ids))
+        number = {item: k for k, item in enumerate(self.ids)}
+        of = np.array([number[item] for item in ids], np.int64)
+        #: By length: sorted window hashes and, beside them, the item of each and its first word.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for length in sorted({window} | set(words.counts[(words.counts > 0) & (words.counts < window)].tolist())):
             hashes, whole = words.windows(length)
             if length < window:
@@ -64,7 +68,7 @@ class Benchmark:
                 some = np.flatnonzero(whole)
             item = of[words.text_of[some]]
             order = np.lexsort((item, hashes[some]))
-            self.windows[length] = hashes[some][order], item[order]
+            self.windows[length] = hashes[some][order], item[order], some[order]
         grams, inside = words.windows(gram)
         self.prints = np.unique(grams[fingerprints(grams, inside & (words.counts >= window)[words.text_of] if len(grams) else inside, words.first, self.span)])
 
@@ -76,12 +80,26 @@ class Benchmark:
         who = np.repeat(np.arange(len(asked)), n)
         return who, np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
+    def _same(self, words: blocks.Words, at: np.ndarray, own: np.ndarray, length: int) -> np.ndarray:
+        """Whether the ``length`` words from each of ``at`` on are the benchmark's from ``own`` on."""
+        a, b = (np.repeat(x, length) + np.tile(np.arange(length), len(x)) for x in (at, own))
+        mine = self.words
+        sizes = words.ends[a] - words.starts[a]
+        good = sizes == mine.ends[b] - mine.starts[b]
+        on = np.flatnonzero(good)
+        ends = np.cumsum(sizes[on])
+        step = np.arange(ends[-1] if len(ends) else 0)
+        before = ends - sizes[on]
+        differ = words.low[np.repeat(words.starts[a[on]] - before, sizes[on]) + step] != mine.low[np.repeat(mine.starts[b[on]] - before, sizes[on]) + step]
+        good[on] &= np.bincount(np.repeat(np.arange(len(on)), sizes[on]), differ, len(on)) == 0
+        return good.reshape(-1, length).all(axis=1)
+
     def search(self, words: blocks.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words hit (one flag each), and (text, item) pairs of items with an occurring window."""
         n = len(words.hashes)
         delta = np.zeros(n + 1, np.int64)
         text, item = [], []
-        for length, (keys, items) in self.windows.items():
+        for length, (keys, items, firsts) in self.windows.items():
             if not n or not len(keys):
                 continue
             hashes, whole = words.windows(length)
@@ -96,9 +114,12 @@ class Benchmark:
                 at = np.arange(n)
             at = at[whole[at]]
             at = at[_among(hashes[at], keys)]
-            delta[at] += 1
-            delta[at + length] -= 1
             who, which = self._ranges(keys, hashes[at])
+            same = self._same(words, at[who], firsts[which], length)
+            who, which = who[same], which[same]
+            sure = at[np.unique(who)]
+            delta[sure] += 1
+            delta[sure + length] -= 1
             text.append(words.text_of[at[who]])
             item.append(items[which])
         if not text:
@@ -132,17 +153,18 @@ def _spans(words: blocks.Words, hit: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pair)
 
 
-SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
+SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<{}>"
 
 
-def _searched(ids: list[int], texts: list[str | None], window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _searched(ids: list, texts: list[str | None], kind: pa.DataType, window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         benchmark = None
         for part in blocks.chunks(batches, "text"):
             benchmark = benchmark or Benchmark(ids, texts, window, gram)
             words = blocks.Words(part.column(1), blocks.NOT_ALNUM)
             hit, text, item = benchmark.search(words)
-            found = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(words.counts) + 1)).astype(np.int32)), pa.array(item, pa.int64()))
+            named = pa.array(benchmark.ids, kind).take(pa.array(item))
+            found = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(words.counts) + 1)).astype(np.int32)), named)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words.counts.astype(np.int64)), _spans(words, hit), found], names=["doc_id", "n_words", "spans", "items"])
 
     return run
@@ -153,25 +175,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
     Spans are maximal runs of hit words (start, end) counted in words of the document; items are the ids with an occurring
     window, ascending. A window is ``window`` consecutive words of an item; a shorter item, but not an empty one, is one window.
-    Null or empty texts have no words and hit nothing; null item_ids are left out; items with equal texts all count. Repeated
-    documents give repeated rows. The benchmark goes to the workers in blocks of ``block_bytes`` of text: a small one takes one
+    Null or empty texts have no words and hit nothing; null item_ids are left out, other ids keep their type; items with equal
+    texts all count. Repeated documents give repeated rows, an empty table none; an empty benchmark hits nothing. A very long text
+    is searched whole, in memory of some tens of times its bytes. The benchmark goes to the workers in blocks of ``block_bytes`` of text: a small one takes one
     pass without a shuffle, a larger one a pass for each block, whose spans and items are then united per row.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    of_id = items.schema["item_id"].dataType
+    schema, kind = SCHEMA.format(of_id.simpleString()), to_arrow_type(of_id)
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n_blocks = -(-total // block_bytes)
     if n_blocks <= 1:
         rows = items.collect()
-        return blocks.map_arrow(texts, _searched([r[0] for r in rows], [r[1] for r in rows], window, gram), SCHEMA)
+        return blocks.map_arrow(texts, _searched([r[0] for r in rows], [r[1] for r in rows], kind, window, gram), schema)
     ws = Workspace(spark, "decontaminate")
     numbered = ws.write(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))).repartition("block"), "items")
     rows = ws.write(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
     out = None
     for b in range(n_blocks):
         part = numbered.where(F.col("block") == b).select("item_id", "text").collect()
-        search = blocks.map_arrow(rows.select(F.col("row").alias("doc_id"), "text"), _searched([r[0] for r in part], [r[1] for r in part], window, gram), SCHEMA)
+        search = blocks.map_arrow(rows.select(F.col("row").alias("doc_id"), "text"), _searched([r[0] for r in part], [r[1] for r in part], kind, window, gram), schema)
         found = search.where("size(spans) > 0").select(F.col("doc_id").alias("row"), F.explode(F.transform("spans", lambda s: F.struct(s["start"], s["end"]))).alias("span"), "items")
         out = found if out is None else out.union(found)
     united = out.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
@@ -184,7 +209,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     )
     counted = blocks.map_arrow(rows.select("row", "doc_id", "text"), _counted, "row long, doc_id long, n_words long")
     joined = counted.join(united.select("row", merged.alias("spans"), "items"), "row", "left")
-    return joined.select("doc_id", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
+    return joined.select("doc_id", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"), F.coalesce("items", F.array().cast(f"array<{of_id.simpleString()}>")).alias("items"))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +232,8 @@ def report(found: DataFrame, *, items: int = 2) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, items: int = 1) -> DataFrame:
-    """The rows of ``docs`` in which windows of fewer than ``items`` items occur, all columns unchanged."""
+    """The rows of ``docs`` in which windows of fewer than ``items`` items occur, all columns unchanged; rows without doc_id stay, and
+    an empty table stays empty. A doc_id that occurs more than once goes with all its rows."""
     return without(docs, contamination(docs, benchmark).where(F.size("items") >= items).select("doc_id"), "contaminated")
 
 

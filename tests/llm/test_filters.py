@@ -4,10 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meterline.llm import decontaminate, licenses, quality, registry, toxicity
+from meterline.llm import blocks, decontaminate, licenses, quality, registry, toxicity
 
 from ..compare import connect, rows_of
 from ..conftest import DATA
@@ -68,6 +69,30 @@ def test_winnowing_finds_every_window(spark, make_docs, block_bytes):
         assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:], strict=False))
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 150])
+def test_item_ids_keep_their_type(spark, make_docs, block_bytes):
+    items, docs = contaminated_fixture()
+    bench = spark.createDataFrame([(f"item-{i}", t) for i, t in items], "item_id string, text string")
+    got = decontaminate.contamination(make_docs(docs), bench, block_bytes=block_bytes).collect()
+    assert {r.doc_id: r["items"] for r in got} == {i: [f"item-{k}" for k in plain_hits(d, items)[2]] for i, d in enumerate(docs)}
+    named = decontaminate.report(decontaminate.contamination(make_docs(docs), bench)).collect()
+    assert {r.doc_id: r.items_sha256 for r in named} == {i: hashlib.sha256(",".join(sorted(f"item-{k}" for k in plain_hits(d, items)[2])).encode()).hexdigest() for i, d in enumerate(docs)}
+
+
+def test_hits_are_compared_on_words(monkeypatch):
+    """With hashes that nearly all collide the hits stay the same."""
+    whole = blocks.Words.hash_of
+    monkeypatch.setattr(blocks.Words, "hash_of", lambda self, *a: whole(self, *a) & np.uint64(1))
+    items, docs = contaminated_fixture()
+    items = [x for x in items if x[1]]
+    bench = decontaminate.Benchmark([i for i, _ in items], [t for _, t in items])
+    words = blocks.Words(pa.array(docs), blocks.NOT_ALNUM)
+    hit, text, item = bench.search(words)
+    for i, d in enumerate(docs):
+        got = len(alnum(d)), int(hit[words.first[i] : words.first[i + 1]].sum()), sorted(bench.ids[k] for k in item[text == i])
+        assert got == plain_hits(d, items)
+
+
 def test_fingerprints_guarantee():
     rng = np.random.default_rng(2)
     values = rng.integers(0, 50, 300).astype(np.uint64)
