@@ -17,7 +17,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -26,6 +26,8 @@ from .workspace import Workspace, table
 ARCHIVE_BYTES = 256 << 20
 #: One request reads at most so many bytes, and reads over gaps of at most so many.
 READ_BYTES, GAP_BYTES = 4 << 20, 64 << 10
+#: A reading task gets about so many bytes of archives at most.
+TASK_BYTES = 64 << 20
 #: Classes of equal payloads are broadcast up to this count, and joined by a shuffle beyond.
 BROADCAST_CLASSES = 200_000
 DATE = "2024-01-01T00:00:00Z"
@@ -41,17 +43,18 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _name(page_id: int | None) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}>"
+def _name(page_id: int | None, own: str) -> str:
+    """A record's identifier: the page's id and, for a response, its digest, by which revisits find it; else a part of its own."""
+    return f"<urn:x-page:{'' if page_id is None else page_id}:{own}>"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: str) -> bytes:
     """One uncompressed record; a revisit carries the response's HTTP head without its payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {quote(url or '', safe=_URL_SAFE)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: {_name(page_id, digest if refers_to is None and page_id is not None else uuid.uuid4().hex)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {quote(url or '', safe=_URL_SAFE)}"]
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_name(refers_to)}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_name(refers_to, digest)}"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -68,7 +71,7 @@ def parse(member: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     told = {k.lower(): v for k, v in (line.split(": ", 1) for line in http.decode().split("\r\n")[1:])}
-    page = lambda name: int(x) if (x := fields.get(name, "<urn:x-page:>")[len("<urn:x-page:") : -1]) else None
+    page = lambda name: int(x) if (x := fields.get(name, "<urn:x-page:>")[len("<urn:x-page:") : -1].partition(":")[0]) else None
     digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
     if kind == "response" and (digest_of(payload) != digest or len(payload) != int(told["content-length"])):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't match its digest {digest}")
@@ -117,7 +120,8 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0) -> DataFr
 
     Of records with equal payloads of at least ``min_bytes`` bytes, the one with the largest page_id is a response and the others
     revisit it. A null html is an empty payload, a null url an empty one; a null page_id ranks below all others. Rows with the
-    largest page_id of their class that occur more than once all are responses.
+    largest page_id of their class that occur more than once all are responses, captured alike and so under one record id; all
+    other records have ids of their own. An empty table writes nothing. A very long page is one record, held whole.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
@@ -136,20 +140,28 @@ def _reader(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = folder(path)
-        for batch in batches:
-            places = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            at = 0
-            while at < len(places):
-                archive, start, length = places[at]
-                end, to = start + length, at + 1
-                while to < len(places) and places[to][0] == archive and 0 <= places[to][1] - end <= GAP_BYTES and places[to][1] + places[to][2] - start <= READ_BYTES:
-                    end = places[to][1] + places[to][2]
-                    to += 1
-                with store.open_input_file(f"{top}/{archive}") as f:
-                    data = f.read_at(end - start, start)
-                found = [parse(data[o - start : o - start + n]) for _, o, n in places[at:to]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in zip(names, kinds, strict=True)], names=names)
-                at = to
+        held, of = None, None
+        try:
+            for batch in batches:
+                places = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+                at = 0
+                while at < len(places):
+                    archive, start, length = places[at]
+                    end, to = start + length, at + 1
+                    while to < len(places) and places[to][0] == archive and 0 <= places[to][1] - end <= GAP_BYTES and places[to][1] + places[to][2] - start <= READ_BYTES:
+                        end = places[to][1] + places[to][2]
+                        to += 1
+                    if archive != of:
+                        if held is not None:
+                            held.close()
+                        held, of = store.open_input_file(f"{top}/{archive}"), archive
+                    data = held.read_at(end - start, start)
+                    found = [parse(data[o - start : o - start + n]) for _, o, n in places[at:to]]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in zip(names, kinds, strict=True)], names=names)
+                    at = to
+        finally:
+            if held is not None:
+                held.close()
 
     return run
 
@@ -157,9 +169,11 @@ def _reader(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def read_records(index: DataFrame, path: str) -> DataFrame:
     """(page_id, url, payload binary, payload_bytes, payload_digest, record_type, refers_to) of the records in ``index``
     (archive, offset, length; a selection of a stored index). A revisit's payload is empty; its payload_bytes and digest are those
-    of the response it refers to."""
-    piece: Column = F.floor(F.col("offset") / READ_BYTES)
-    placed = index.select("archive", "offset", "length").repartition(F.col("archive"), piece).sortWithinPartitions("archive", "offset")
+    of the response it refers to. The selection is dealt out by archive and offset, so that each task reads neighbouring records,
+    over as many tasks as there are archives, or as TASK_BYTES asks for. An empty selection reads nothing."""
+    size = index.agg(F.sum("length"), F.countDistinct("archive")).first()
+    tasks = max(1, size[1], -(-(size[0] or 0) // TASK_BYTES))
+    placed = index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return blocks.map_arrow(placed, _reader(path), "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
