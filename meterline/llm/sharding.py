@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from .workspace import Workspace, table
 
 SLOTS = 4096
+#: Copies of one record that a task writes out at once.
+RUN = 65_536
 MAP_SCHEMA = "version int, n_shards int, virtual_slot int, shard int"
 
 
 def virtual_slot(n_slots: int = SLOTS):
-    """The slot of a record: a hash of doc_id; where that is null, of the text."""
-    return F.pmod(F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.xxhash64("text")), F.lit(n_slots)).cast("int")
+    """The slot of a record: a hash of its doc_id, its text's checksum, and the number of the copy among equal records."""
+    return F.pmod(F.xxhash64("doc_id", "text_crc32", "copy"), F.lit(n_slots)).cast("int")
 
 
 def plan_map(slot_bytes: dict[int, int], n_shards: int, previous: dict[int, int] | None = None, n_slots: int = SLOTS) -> dict[int, int]:
@@ -76,31 +78,38 @@ def slot_bytes(rows: DataFrame) -> dict[int, int]:
 
 
 def sized(docs: DataFrame, n_slots: int = SLOTS) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        virtual_slot(n_slots).alias("virtual_slot"),
-    )
+    """(doc_id, size, text_crc32, copy, virtual_slot). Equal records are counted before anything is shuffled by them, and dealt out
+    again as copies 0, 1, ..., each with a slot of its own, so that one record that makes up much of a table fills no slot."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    counts = own.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    copy = lambda low, high: F.explode(F.sequence(low, high)).alias("copy")
+    few = counts.where(F.col("n") <= RUN).select("doc_id", "size", "text_crc32", copy(F.lit(0).cast("long"), F.col("n") - 1))
+    # Runs of copies are dealt to different tasks before they are written out one by one.
+    runs = counts.where(F.col("n") > RUN).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))).alias("at"))
+    many = runs.hint("rebalance").select("doc_id", "size", "text_crc32", copy(F.col("at"), F.least(F.col("at") + RUN, F.col("n")) - 1))
+    copies = few.union(many)
+    return copies.withColumn("virtual_slot", virtual_slot(n_slots))
 
 
 def assign(rows: DataFrame, mapped: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, size, text_crc32, virtual_slot) with shard, and slot: the place in the shard, gapless from 0. Places
+    """``rows`` (doc_id, size, text_crc32, copy, virtual_slot) with shard, and slot: the place in the shard, gapless from 0. Places
     follow virtual slots, so a shard's places come from per-slot counts and never from one sort of a whole shard."""
     counts = rows.groupBy("virtual_slot").agg(F.count("*").alias("n")).join(F.broadcast(mapped.select("virtual_slot", "shard")), "virtual_slot")
     # One row per slot at most: a window over all of them is small.
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1))
     places = counts.select("virtual_slot", "shard", F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
+    within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "copy"))
     return rows.withColumn("_within", within).join(F.broadcast(places), "virtual_slot").withColumn("slot", (F.col("_before") + F.col("_within") - 1).cast("long")).drop("_before", "_within")
 
 
 def shard(docs: DataFrame, n_shards: int = 8, *, n_slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot, virtual_slot) for each row of ``docs`` (doc_id, text; more columns are ignored).
+    """(doc_id, size, text_crc32, copy, shard, slot, virtual_slot) for each row of ``docs`` (doc_id, text; more columns are ignored).
 
-    Shards are near equal in bytes; size is the text's UTF-8 bytes (null: none) plus 1. A null doc_id is hashed by its text.
-    Repeated rows share a virtual slot and get places of their own. An empty table gives no rows.
+    Shards are near equal in bytes; size is the text's UTF-8 bytes (null: none) plus 1. Equal rows, those without doc_id and text
+    among them, are numbered and lie in slots of their own. Rows of equal texts are no unit here: slots take single records, and
+    text_crc32 tells which belong together. A very long text counts with all its bytes, in the one shard that has it. An empty
+    table gives no rows.
     """
     ws = Workspace(docs.sparkSession, "sharding")
     rows = ws.write(sized(docs, n_slots), "sized")

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import pyarrow.fs
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 from meterline.llm import sharding, warc
 from meterline.llm.workspace import Workspace
 
+from ..conftest import DATA
+
 
 def test_shards(spark, make_docs):
     texts = ["x" * (i * 37 % 500) for i in range(900)]
@@ -27,6 +30,45 @@ def test_shard_edges(spark, edge_docs, no_docs):
     assert sharding.shard(no_docs).count() == 0
 
 
+def plain_places(rows, n_shards):
+    """(shard, slot) of each record by its virtual slot: heaviest slot to the lightest shard, places in order of slots."""
+    size = Counter()
+    for r in rows:
+        size[r.virtual_slot] += r.size
+    held, count, shard = [0] * n_shards, [0] * n_shards, {}
+    for s in sorted(range(sharding.SLOTS), key=lambda s: (-size[s], s)):
+        k = min(range(n_shards), key=lambda k: (held[k], count[k], k))
+        shard[s], held[k], count[k] = k, held[k] + size[s], count[k] + 1
+    out, at = {}, [0] * n_shards
+    for r in sorted(rows, key=lambda r: (r.virtual_slot, r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size, r.copy)):
+        k = shard[r.virtual_slot]
+        out[r.doc_id, r.text_crc32, r.copy], at[k] = (k, at[k]), at[k] + 1
+    return out
+
+
+def test_query_against_a_plain_version(spark):
+    got = {r.doc_id: r for r in sharding.op6_virtual_slot_sharding(spark, str(DATA)).collect()}
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert {i: (r.size, r.text_crc32) for i, r in got.items()} == {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in docs.items()}
+    rows = sharding.shard(spark.read.parquet(f"{DATA}/documents.parquet"), 8).collect()
+    places = plain_places(rows, 8)
+    assert {i: (r.shard, r.slot) for i, r in got.items()} == {i: places[i, r.text_crc32, 0] for i, r in got.items()}
+    assert {(r.law, r.grown_shard) for r in got.values()} == {("bytes", None)}
+
+
+@pytest.mark.parametrize("run", [sharding.RUN, 1000])
+def test_equal_records_are_spread(spark, monkeypatch, run):
+    """A hundred thousand equal rows beside others: no slot holds them all, and shards stay even."""
+    monkeypatch.setattr(sharding, "RUN", run)
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    docs = docs.union(spark.range(20_000).select(F.lit(5).cast("long"), F.lit("the same"))).union(spark.range(30_000).select("id", F.col("id").cast("string")))
+    rows = sharding.shard(docs, 8)
+    assert rows.groupBy("virtual_slot").count().agg(F.max("count")).first()[0] < 200
+    sizes = rows.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("top"), F.countDistinct("slot").alias("places")).collect()
+    assert sum(r.n for r in sizes) == 150_000 and all(r.n == r.places == r.top + 1 for r in sizes)
+    assert max(r.b for r in sizes) - min(r.b for r in sizes) <= 0.01 * sum(r.b for r in sizes)
+
+
 def test_rebalancing_edits_the_map():
     sizes = {s: 10 + s * 7919 % 90 for s in range(512)}
     first = sharding.plan_map(sizes, 8, n_slots=512)
@@ -79,10 +121,18 @@ def test_index_and_ranges(spark, monkeypatch):
         assert found["page_id"] == r.page_id and found["payload_digest"] == r.digest and found["url"] == r.url
     files = store.get_file_info(pyarrow.fs.FileSelector(top))
     assert sum(f.size for f in files) == index.agg(F.sum("length")).first()[0]
+    assert warc.read_records(index, ws.path("a")).rdd.getNumPartitions() >= index.select("archive").distinct().count()
     some = warc.read_records(index.where("page_id in (3, 4, 299)"), ws.path("a")).collect()
     assert {(r.page_id, bytes(r.payload).decode()) for r in some} == {(i, f"page {i} " * (i % 50)) for i in (3, 4, 299)}
 
 
+def test_records_have_ids_of_their_own():
+    names = [warc.zlib.decompress(warc._compressed(warc.record(i, "u", p, to, warc.digest_of(p))), 31).split(b"\r\n")[2] for i, p, to in [(1, b"a", 2), (1, b"a", 2), (1, b"b", None), (1, b"c", None), (None, b"a", None), (None, b"a", None)]]
+    assert len(set(names)) == len(names)
+    told = warc.zlib.decompress(warc._compressed(warc.record(2, "u", b"a", None, warc.digest_of(b"a"))), 31).split(b"\r\n")[2].partition(b": ")[2]
+    assert told in warc.record(1, "u", b"a", 2, warc.digest_of(b"a"))
+
+
 def test_damage_is_found(spark):
     whole = warc._compressed(warc.record(1, "u", b"payload", None, warc.digest_of(b"other")))
     with pytest.raises(ValueError, match="digest"):
