@@ -192,14 +192,16 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """(doc_id, p_<category>..., <category> boolean...) for each row of ``docs`` (doc_id, text; more columns are ignored).
 
     Whole texts are scored, no shuffle. A null or empty text has no features and gets the models' base rates. Repeated rows give
-    repeated rows; a null doc_id is carried.
+    repeated rows; a null doc_id is carried; an empty table gives no rows. A very long text is scored whole, in memory of some
+    tens of times its bytes.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = blocks.map_arrow(texts, _scored(chain), ", ".join(["doc_id long", *(f"p_{c} double" for c in chain.categories)]))
     return scored.select("*", *((F.col(f"p_{c}") >= float(t)).alias(c) for c, t in zip(chain.categories, chain.thresholds, strict=True)))
 
 
-#: The labelled categories in chain order.
+#: The labelled categories in chain order. The labels at hand know only one kind of toxicity; low quality goes before it as the one
+#: other category. With labels of more kinds (insult, threat, ...) the chain takes one link for each, see ``toxicity``.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
@@ -209,7 +211,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, categories: dict[str, str] |
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't found toxic, all columns unchanged; rows without doc_id stay."""
+    """The rows of ``docs`` that aren't found toxic, all columns unchanged; rows without doc_id stay, and an empty table stays
+    empty. A doc_id that occurs more than once goes with all its rows."""
     return without(docs, toxicity(docs, labels).where("toxic").select("doc_id"), "toxic")
 
 

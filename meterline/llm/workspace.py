@@ -1,34 +1,74 @@
-"""Shared storage for intermediate tables, and small helpers every operator uses."""
+"""Shared storage for intermediate tables, and small helpers every operator uses.
+
+Operators return lazy DataFrames over tables that they have written, so those tables must outlive the call. Whoever asked for
+the result ends them: ``with lifetime(spark): ...`` removes on leaving whatever was written inside, ``clear(spark)`` all that
+this application has written. The pipeline does so after each stage.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join may be broadcast only when it was counted and holds at most this many rows of a few bytes each.
 BROADCAST_ROWS = 1_000_000
+#: Folders that still hold tables, by application, in the order of writing.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one of our own only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Only where all executors are threads of the driver a local folder of our own
+    stands in for it; on a cluster a folder that no one has named would be a different one on every machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="meterline-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _written(spark: SparkSession) -> list[str]:
+    return _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+
+
+@contextmanager
+def lifetime(spark: SparkSession) -> Iterator[None]:
+    """Remove on leaving every table that operators write inside; results over them must be stored or collected before."""
+    before = len(_written(spark))
+    try:
+        yield
+    finally:
+        clear(spark, before)
+
+
+def clear(spark: SparkSession, after: int = 0) -> None:
+    """Remove the tables of this application; results that still read them can't be evaluated any more."""
+    held = _written(spark)
+    while len(held) > after:
+        _delete(spark, held.pop())
+
+
 class Workspace:
     """Written tables of one run of one operator. They survive lost executors and cut the lineage."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/meterline/{label}-{uuid.uuid4().hex}"
+        _written(spark).append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -39,10 +79,8 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Free tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, self.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -252,6 +252,89 @@ def test_chain_on_held_out_documents(spark, make_docs):
     assert np.mean([a == b for a, b, _, _ in held]) > 0.97 and np.mean([a == b for _, _, a, b in held]) > 0.97
 
 
+def plain_features(text):
+    """Distinct words and beginnings of longer ones, as strings."""
+    words = {w.encode() for w in alnum(text)}
+    return words | {(w[: toxicity.BEGINNING], "beginning") for w in words if len(w) > toxicity.BEGINNING}
+
+
+def plain_hash(feature):
+    word, salt = (feature[0], toxicity._BEGINNING_SALT) if isinstance(feature, tuple) else (feature, np.uint64(0))
+    return int(blocks.Words(pa.array([word], pa.binary()), blocks.NOT_ALNUM, hashes=False).hash_of(np.array([0]), np.array([len(word)]))[0] ^ salt)
+
+
+def newton(x, y, ridge):
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(ridge), x.T @ (p - y) + ridge * w)
+    return w
+
+
+def plain_chain(rows, names):
+    """Train as the operator does, by counting and Newton's method: probabilities of the training rows for each category."""
+    n, folds = len(rows), np.array([r[0] % toxicity.FOLDS for r in rows])
+    y = np.array([r[2] for r in rows], float)
+    chosen = set()
+    for k in range(len(names)):
+        chi = {}
+        for f in {f for r in rows for f in r[1]}:
+            seen, both, total = sum(f in r[1] for r in rows), sum(f in r[1] and r[2][k] for r in rows), y[:, k].sum()
+            if 3 <= seen < n and 0 < total < n:
+                expected = seen * total / n
+                chi[f] = (both - expected) ** 2 * n / (expected * (1 - total / n) * (n - seen))
+        chosen |= set(sorted((f for f in chi if chi[f] >= 10.83), key=lambda f: (-chi[f], plain_hash(f)))[: toxicity.FEATURES])
+    chosen = sorted(chosen, key=plain_hash)
+    x = np.array([[float(f in r[1]) for f in chosen] for r in rows])
+    earlier, out, apart = np.zeros((n, 0)), np.zeros((n, len(names))), np.zeros((n, 0))
+    for k in range(len(names)):
+        full = np.concatenate([x, earlier / 4, np.ones((n, 1))], axis=1)
+        ridge = np.append(np.ones(full.shape[1] - 1), 0.0)
+        held_out = np.zeros(n)
+        for f in range(toxicity.FOLDS):
+            held_out[folds == f] = full[folds == f] @ newton(full[folds != f], y[folds != f, k], ridge)
+        w = newton(full, y[:, k], ridge)
+        odds = np.concatenate([x, apart / 4, np.ones((n, 1))], axis=1) @ w
+        out[:, k] = 1 / (1 + np.exp(-odds))
+        earlier = np.concatenate([earlier, np.clip(held_out, -8, 8)[:, None]], axis=1)
+        apart = np.concatenate([apart, np.clip(odds, -8, 8)[:, None]], axis=1)
+    return chosen, out
+
+
+def test_training_against_a_plain_version():
+    """Three categories, the last of which follows from the first two."""
+    rng, texts, labels = random.Random(8), [], []
+    for _ in range(240):
+        words = [f"w{int(rng.expovariate(0.05))}" for _ in range(20)]
+        a, b = rng.random() < 0.4, rng.random() < 0.4
+        words += ["insulting"] * a + ["threaten"] * b
+        texts.append(" ".join(words))
+        labels.append([float(a), float(b != (rng.random() < 0.05)), float((a or b) != (rng.random() < 0.05))])
+    names = ["insult", "threat", "severe"]
+    values, offsets = toxicity.features(pa.array(texts))
+    chain = toxicity.train([(i, values[offsets[i] : offsets[i + 1]], labels[i]) for i in range(240)], names)
+    chosen, want = plain_chain([(i, plain_features(texts[i]), labels[i]) for i in range(240)], names)
+    assert chain.keys.tolist() == [plain_hash(f) for f in chosen] and len(chosen) >= 2
+    assert chain.links[2, :2].min() > 0 and not chain.links[:, 2].any()
+    assert np.abs(chain.probabilities(pa.array(texts)) - want).max() < 0.03
+
+
+def test_query_against_plain_scores(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    chain = toxicity.fit_chain(docs, labels, toxicity.CATEGORIES)
+    place = {int(h): k for k, h in enumerate(chain.keys)}
+    got = {r.doc_id: r for r in toxicity.op7_classifier_chain_toxicity(spark, str(DATA)).collect()}
+    for r in docs.collect():
+        held = [place[h] for f in plain_features(r.text) if (h := plain_hash(f)) in place]
+        odds = []
+        for k in range(2):
+            odds.append(chain.bias[k] + sum(chain.weights[k][j] for j in held) + sum(chain.links[k, j] * max(-8, min(8, odds[j])) for j in range(k)))
+        p = [1 / (1 + math.exp(-o)) for o in odds]
+        assert got[r.doc_id].p_low_quality == pytest.approx(p[0], abs=1e-9) and got[r.doc_id].p_toxic == pytest.approx(p[1], abs=1e-9)
+        assert got[r.doc_id].toxic == (p[1] >= chain.thresholds[1]) and got[r.doc_id].kept != got[r.doc_id].toxic
+    assert len(got) == docs.count()
+
+
 def test_later_models_use_earlier_ones():
     """The second category is the first one's exclusive-or with a word: only the chain's link carries its part."""
     rng = random.Random(2)

@@ -1,8 +1,10 @@
 import re
 
 import corpus_pipeline
+import pytest
+
 import __spark_entry__
-from meterline.llm import decontaminate, near_dedup, registry, toxicity
+from meterline.llm import decontaminate, near_dedup, registry, toxicity, workspace
 
 from ..conftest import DATA
 from .test_dedup import plain_components, plain_cut
@@ -56,6 +58,35 @@ def test_empty_tables(spark, no_docs):
         assert stage(spark, no_docs, str(DATA)).count() == 0, name
 
 
+def tables_left(spark):
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{workspace.shared_root(spark)}/meterline")
+    store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {s.getPath().getName() for s in store.listStatus(top)} if store.exists(top) else set()
+
+
+def test_a_run_leaves_no_tables(spark):
+    before = tables_left(spark)
+    with workspace.lifetime(spark):
+        rows = corpus_pipeline.run(spark, str(DATA))
+        assert len(tables_left(spark) - before) == 1  # what the rows are read from
+        assert rows.count() > 0
+        near_dedup.near_duplicates(spark.read.parquet(f"{DATA}/documents.parquet")).count()
+    assert tables_left(spark) == before
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        workspace.shared_root(Session)
+
+
 def test_edge_rows(spark, edge_docs):
     docs = edge_docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
