@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meterline.llm import bpe, decontaminate, near_dedup, substring_dedup, toxicity
-from meterline.llm.workspace import Workspace, table
+from meterline.llm.workspace import Workspace, lifetime, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, ws = table(spark, sf_dir, "documents"), Workspace(spark, "pipeline")
+    """Rows of the last stage. A stage's intermediate tables go when its result is written, the result itself when the next one's is;
+    the last one stays for whoever reads the rows (see ``workspace.lifetime``)."""
+    docs, ws, last = table(spark, sf_dir, "documents"), Workspace(spark, "pipeline"), None
     for name, stage in STAGES:
-        docs = ws.write(stage(spark, docs, sf_dir), name)
+        with lifetime(spark):
+            docs = ws.write(stage(spark, docs, sf_dir), name)
+        if last:
+            ws.drop(last)
+        last = name
     return docs
