@@ -23,6 +23,12 @@ def tokens(x: Column) -> Column:
     return F.filter(F.split(F.trim(x), r"\s+"), lambda t: normal_token(t) != "")
 
 
+def normal_line(x: Column) -> Column:
+    """The normal forms of a line's tokens, one space between them."""
+    kept = F.regexp_replace(F.lower(x), r"(?U)[^\w'\x20\x09-\x0D]+", "")
+    return F.trim(F.regexp_replace(kept, r"[\x20\x09-\x0D]+", " "))
+
+
 def common_subsequence(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two strings: one row of the table per character of a, kept as an array."""
     letters = F.filter(F.split(a, ""), lambda c: c != "")

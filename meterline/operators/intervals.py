@@ -138,6 +138,16 @@ def coverage(regions: DataFrame, covers: DataFrame, keys: Sequence[str], *, widt
     return total.join(covered, list(keys), "left").select(*keys, ratio.alias("covered_ratio"))
 
 
+def share_above(series: DataFrame, spans: DataFrame, keys: Sequence[str], *, hop: float, level: float, width: float) -> DataFrame:
+    """``spans`` (keys..., start, end) with share: of the samples (keys..., i, v) from int(start / hop) to int(end / hop), both
+    included, the part above ``level``; 0 where there are none. A range join by buckets of ``width`` samples."""
+    place = lambda c: F.greatest(F.lit(0), (F.col(c) / hop).cast("long"))
+    placed = spans.select(*keys, F.col("start").alias("_from"), F.col("end").alias("_to"), place("start").alias("start"), (place("end") + 1).alias("end")).distinct()
+    met = samples_in_spans(series.select(*keys, F.col("i").alias("_i"), F.col("v").alias("_v")), placed, keys, "_i", width=width)
+    counts = met.groupBy(*keys, F.col("_from").alias("start"), F.col("_to").alias("end")).agg((F.count_if(F.col("_v") > level) / F.count("*")).alias("share"))
+    return spans.join(counts, [*keys, "start", "end"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+
+
 def activity_regions(series: DataFrame, keys: Sequence[str], *, enter: float, exit: float, max_gap: int, min_length: int, i: str = "i", v: str = "v", width: float = 1024) -> DataFrame:
     """(keys..., start, end, mean): hysteresis spans, merged over short gaps, of a minimum length, with the mean of all their samples."""
     spans = at_least(merge_gaps(hysteresis(series, keys, enter, exit, i=i, v=v), keys, max_gap), min_length)

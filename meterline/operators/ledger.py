@@ -47,6 +47,16 @@ def gate(estimates: DataFrame, budget: Column | float) -> DataFrame:
     return estimates.withColumn("within_budget", F.col("usd") <= budget)
 
 
+def spendable(calls: DataFrame, cache: DataFrame, table: DataFrame, keys: Sequence[str], budget: float, **tokens: int) -> tuple[DataFrame, DataFrame]:
+    """(gates, allowed) before anything is spent: gates (keys..., calls, usd, within_budget) estimate the calls (keys..., model, frames,
+    cache_key) that the cache doesn't hold; allowed are those calls of the keys whose estimate lies within ``budget``. A key beyond it
+    is refused whole: none of its calls is made, so neither its log nor its entries change."""
+    new = uncached(calls, cache)
+    each = cost_estimate(new, table, keys, **tokens)
+    gates = gate(each.groupBy(*keys).agg(F.sum("calls").alias("calls"), rounded(F.sum("usd"), "usd").alias("usd")), budget)
+    return gates, new.join(gates.where("within_budget").select(*keys), list(keys), "left_semi")
+
+
 def accrued(usage: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys..., calls, input_tokens, output_tokens, usd) spent so far by usage (keys..., model, calls, input_tokens, output_tokens);
     no row where nothing was called."""
@@ -92,6 +102,13 @@ def ready(tracks: DataFrame, entries: DataFrame, needs: Sequence[str]) -> DataFr
     return tracks.join(ok, "track_id", "left").withColumn("missing", missing).withColumn("ready", F.size("missing") == 0).drop("_ok")
 
 
+def required(tracks: DataFrame, entries: DataFrame, needs: Sequence[str]) -> DataFrame:
+    """``tracks`` as they are; the job fails at the first one that lacks an ok entry among ``needs``, and names what is missing."""
+    held = ready(tracks, entries, needs)
+    fault = F.raise_error(F.concat(F.lit("track "), F.col("track_id"), F.lit(" needs "), F.array_join("missing", ", "))).cast("string")
+    return held.withColumn("track_id", F.when(F.col("ready"), F.col("track_id")).otherwise(fault)).select(*tracks.columns)
+
+
 def uncached(calls: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame:
     return calls.join(cache.select(key).distinct(), key, "left_anti")
 

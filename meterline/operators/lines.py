@@ -240,11 +240,52 @@ def anchor_lines(lines: DataFrame, words: DataFrame, key: str = "track_id", *, l
 
 def repetition(lines: DataFrame, keys: Sequence[str], text: str = "text", least: int = 2) -> DataFrame:
     """(keys..., normal, n, first_idx): normal forms of lines that occur at least ``least`` times within their keys."""
-    normal = F.array_join(F.transform(T.tokens(F.col(text)), T.normal_token), " ")
-    groups = lines.withColumn("normal", normal).where("normal <> ''").groupBy(*keys, "normal").agg(F.count("*").alias("n"), F.min("line_idx").alias("first_idx"))
+    groups = lines.withColumn("normal", T.normal_line(F.col(text))).where("normal <> ''").groupBy(*keys, "normal").agg(F.count("*").alias("n"), F.min("line_idx").alias("first_idx"))
     return groups.where(F.col("n") >= least)
 
 
+def near_repetition(lines: DataFrame, keys: Sequence[str], text: str = "text", *, least: int = 2, similar: float = 0.8) -> DataFrame:
+    """(keys..., line_idx, cluster, n) of the lines (keys..., line_idx) that recur, exactly or nearly, at least ``least`` times.
+
+    Normal forms are linked when 1 - edits / longer length is at least ``similar``; cluster is the first line reachable over links,
+    n the lines of the cluster. Equal forms are one from the start; forms of one key meet only where their lengths allow it.
+    """
+    held = lines.select(*keys, "line_idx", T.normal_line(F.col(text)).alias("normal")).where("normal <> ''")
+    forms = held.groupBy(*keys, "normal").agg(F.min("line_idx").alias("first"), F.count("*").alias("c")).withColumn("size", F.length("normal"))
+    other = forms.select(*keys, *(F.col(c).alias(f"o_{c}") for c in ("normal", "first", "size")))
+    longer = F.greatest("size", "o_size")
+    near = forms.join(other, list(keys)).where((F.col("first") < F.col("o_first")) & (longer - F.least("size", "o_size") <= (1 - similar) * longer))
+    near = near.where(1 - F.levenshtein("normal", "o_normal") / longer >= similar)
+    own = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
+    pairs = near.groupBy(*keys).agg(F.collect_list(F.struct(F.col("first").cast("long").alias("a"), F.col("o_first").cast("long").alias("b"))).alias("_pairs"))
+    # Labels spread over a track's links until none changes: as many rounds as the track has forms, at most.
+    nodes = forms.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("first").cast("long"))).alias("_nodes"))
+    kinds = ", ".join(f"{k} {dict(lines.dtypes)[k]}" for k in keys)
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in group.itertuples(index=False):
+            label = {n: n for n in row._asdict()["nodes"]}
+
+            def root(n: int, label: dict = label) -> int:
+                while label[n] != n:
+                    label[n] = label[label[n]]
+                    n = label[n]
+                return n
+
+            for pair in row._asdict()["pairs"]:
+                a, b = sorted((root(pair["a"]), root(pair["b"])))
+                label[b] = a
+            out += [(*(row._asdict()[k] for k in keys), n, root(n)) for n in label]
+        return pd.DataFrame(out, columns=[*keys, "first", "cluster"])
+
+    grouped = nodes.join(pairs, list(keys), "left").select(*keys, F.col("_nodes").alias("nodes"), F.coalesce("_pairs", own).alias("pairs"))
+    labelled = grouped.mapInPandas(lambda parts: (joined(p) for p in parts), f"{kinds}, first long, cluster long")
+    clusters = forms.join(labelled, [*keys, "first"]).select(*keys, "normal", "cluster", "c")
+    sizes = clusters.groupBy(*keys, "cluster").agg(F.sum("c").alias("n")).where(F.col("n") >= least)
+    return held.join(clusters.drop("c"), [*keys, "normal"]).join(sizes, [*keys, "cluster"]).select(*keys, "line_idx", "cluster", "n")
+
+
 def spans_of_words(lines: DataFrame, keys: Sequence[str], words: str = "words") -> DataFrame:
     return lines.select(*keys, F.explode(words).alias("_w")).select(*keys, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"))
 

@@ -116,6 +116,14 @@ def nearest(points: DataFrame, events: DataFrame, keys: Sequence[str], *, at: st
     return held.select(*keys, "_p.*", chosen["i"].alias("nearest_index"), (F.col("_t") - chosen["t"]).alias("offset"))
 
 
+def snapped(boundaries: DataFrame, beats: DataFrame, offsets: DataFrame, keys: Sequence[str], *, beats_per_bar: int = 4, at: str = "t") -> DataFrame:
+    """``boundaries`` with downbeat_index, snapped and offset: the closest downbeat of the same keys, the earlier of two equally close
+    ones; null where a key has none. ``beats``: (keys..., i, t); ``offsets``: (keys..., downbeat_offset), the phase of downbeats."""
+    down = beats.join(offsets, list(keys)).where(F.pmod(F.col("i") - F.col("downbeat_offset"), F.lit(beats_per_bar)) == 0).select(*keys, "i", "t")
+    met = nearest(boundaries, down, keys, at=at)
+    return met.withColumnRenamed("nearest_index", "downbeat_index").withColumn("snapped", F.col(at) - F.col("offset"))
+
+
 def occurrence(df: DataFrame, keys: Sequence[str], label: str, order: Sequence[str]) -> DataFrame:
     """Running number of each label within its keys, from 1."""
     return df.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys, label).orderBy(*order)).cast("long"))

@@ -229,10 +229,10 @@ def flagged_ratio(spark, sf_dir):
 @query(f"""with {_E}, s as (select user_id, list(v order by i) a, max(i) n from e group by 1), q as (select user_id, a, unnest(range(0, n // 4 + 2)) * 4.0::double s from s), z as (select user_id, s, list_slice(a, floor(s)::int + 1, floor(s + 6.5)::int + 1) x from q)
 select user_id, s start_t, {rounded_sql('case when len(x) = 0 then 0 else len(list_filter(x, lambda v: v > 50))::double / len(x) end', 'ratio')} share from z""")
 def overlap_share(spark, sf_dir):
-    held = _series(spark, sf_dir).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("a"), F.max("i").alias("n"))
-    each = held.select("user_id", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 4) + 1)).alias("j")).withColumn("start_t", F.col("j") * 4.0)
-    share = series.loud_share(F.col("a"), F.col("start_t"), F.col("start_t") + 6.5, F.lit(1.0), 50.0)
-    return each.select("user_id", "start_t", rounded(share, "ratio").alias("share"))
+    s = _series(spark, sf_dir).select("user_id", "i", "v")
+    spans = s.groupBy("user_id").agg(F.max("i").alias("n")).select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 4) + 1)).alias("j"))
+    spans = spans.select("user_id", (F.col("j") * 4.0).alias("start"), (F.col("j") * 4.0 + 6.5).alias("end"))
+    return intervals.share_above(s, spans, ["user_id"], hop=1.0, level=50.0, width=64).select("user_id", F.col("start").alias("start_t"), rounded("share", "ratio").alias("share"))
 
 
 FPS = 24.0
@@ -292,6 +292,19 @@ def nearest_beat(spark, sf_dir):
     return _cuts(spark, sf_dir).select("event_id", "nearest_index", rounded("offset", "seconds").alias("offset_seconds"))
 
 
+#: The same, but for beats whose number is of the user's phase.
+_DOWNBEATS = _BEATS.replace("near as (", "db as (select * from be where (bi - user_id % 4) % 4 = 0),\nnear as (").replace("join be b0", "join db b0").replace("join be b1", "join db b1")
+
+
+@query(f"with {_DOWNBEATS} select event_id, nearest_index::bigint downbeat_index, {rounded_sql('t - off', 'seconds')} snapped_t, {rounded_sql('off', 'seconds')} as offset_seconds from nb where nearest_index is not null")
+def boundary_snap(spark, sf_dir):
+    s = _series(spark, sf_dir)
+    beats = series.indexed(s.where("event_type <> 'click'").select("user_id", "t", F.col("i").alias("_i")), ["user_id"], ["t", "_i"]).drop("_i")
+    offsets = s.select("user_id").distinct().withColumn("downbeat_offset", F.col("user_id") % 4)
+    found = series.snapped(s.where("event_type = 'click'").select("user_id", "event_id", "t"), beats, offsets, ["user_id"]).where("downbeat_index is not null")
+    return found.select("event_id", "downbeat_index", rounded("snapped", "seconds").alias("snapped_t"), rounded("offset", "seconds").alias("offset_seconds"))
+
+
 @query(f"""with {_BEATS}, d as (select user_id, floor(t / 86400)::bigint d, count(*) filter (event_type <> 'click') nb from e group by 1, 2), c as (select user_id, floor(t / 86400)::bigint d, count(*) n, avg(case when abs(off) <= 3600 then 1.0 else 0.0 end) sh from nb group by 1, 2)
 select user_id, d section, coalesce(n, 0)::bigint n_cuts, {rounded_sql('case when nb = 0 then 0 else coalesce(n, 0) / (nb / 4.0::double) end', 'ratio')} cuts_per_bar, {rounded_sql('coalesce(sh, 0)', 'ratio')} on_beat_ratio from d left join c using (user_id, d)""")
 def cuts_per_section(spark, sf_dir):
@@ -324,6 +337,18 @@ def line_repetition(spark, sf_dir):
     return lines.repetition(each, ["doc_id"])
 
 
+@query(r"""with recursive l as (select c_nationkey k, c_custkey i, trim(regexp_replace(regexp_replace(lower(c_name), '[^\p{L}\p{N}\p{M}_''\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) n from customer),
+f as (select k, n, min(i) first, count(*) c from l where n <> '' group by 1, 2),
+p as (select a.k, a.first a, b.first b from f a join f b on a.k = b.k and a.first < b.first where 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n))::double >= 0.9),
+e as (select k, a, b from p union select k, b, a from p), w(k, a, b) as (select k, first, first from f union select w.k, w.a, e.b from w join e on w.k = e.k and w.b = e.a),
+m as (select k, a, min(b) cluster from w group by 1, 2), g as (select m.k, cluster, sum(c)::bigint n from m join f on f.k = m.k and f.first = m.a group by 1, 2 having sum(c) >= 2)
+select l.k c_nationkey, l.i line_idx, g.cluster, g.n from l join f using (k, n) join m on m.k = l.k and m.a = f.first join g on g.k = l.k and g.cluster = m.cluster""")
+def near_repetition(spark, sf_dir):
+    """Customers of a nation whose names are nearly the same."""
+    names = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_custkey").alias("line_idx"), F.col("c_name").alias("text"))
+    return lines.near_repetition(names, ["c_nationkey"], similar=0.9)
+
+
 def _anchoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of a conversation are lines to be found among the words of all its turns, four words a second."""
     c = table(spark, sf_dir, "conversations")
@@ -400,11 +425,25 @@ _CALLS = f"""{_PRICES}, mm as (select row_number() over () - 1 k, m from pr), c
 es as (select m model, count(*) calls, sum(tin)::bigint input_tokens, (300 * count(*))::bigint output_tokens from c join mm using (k) group by 1), ec as (select es.*, {rounded_sql('(input_tokens * ip + output_tokens * op) / 1000000', 'usd')} usd from es join pr on pr.m = es.model)"""
 
 
+BUDGET = 0.03
+_CALLS_BY_RUN = _CALLS.replace("from pages)", "from pages where page_id % 3 <> 0)").replace("select page_id, (page_id % 5) k", "select page_id, page_id % 13 run, (page_id % 5) k").split("es as (select")[0] + f"""
+hs as (select run, m model, count(*) c, sum(tin)::bigint i, (300 * count(*))::bigint o from c join mm using (k) group by 1, 2), h as (select hs.*, {rounded_sql('(i * ip + o * op) / 1000000', 'usd')} usd from hs join pr on pr.m = hs.model)"""
+
+
 @query(f"with {_CALLS} select *, usd <= 1.0 within_budget from ec")
 def cost_estimate(spark, sf_dir):
     return ledger.gate(ledger.cost_estimate(_calls(spark, sf_dir), ledger.prices(spark), []), 1.0)
 
 
+@query(f"""with {_CALLS_BY_RUN}, g as (select run, sum(c)::bigint calls, {rounded_sql('sum(usd)', 'usd')} usd from h group by 1) select run, calls, usd, usd <= {BUDGET} within_budget, case when usd <= {BUDGET} then calls else 0 end::bigint allowed from g""")
+def budget_gate(spark, sf_dir):
+    """Calls that no earlier reply answers, by run; a run beyond the budget makes none of them."""
+    calls = _calls(spark, sf_dir).withColumn("run", F.col("page_id") % 13).withColumn("cache_key", F.col("page_id"))
+    gates, allowed = ledger.spendable(calls, calls.where("page_id % 3 = 0").select("cache_key"), ledger.prices(spark), ["run"], BUDGET)
+    made = allowed.groupBy("run").agg(F.count("*").alias("allowed"))
+    return gates.join(made, "run", "left").select("run", "calls", "usd", "within_budget", F.coalesce("allowed", F.lit(0)).cast("long").alias("allowed"))
+
+
 @query(f"""with {_PRICES}, mm as (select row_number() over () - 1 k, m, ip, op from pr), u as (select conv_id, conv_id % 5 k, sum(case when role = 'user' then length(text) else 0 end) i, sum(case when role = 'assistant' then length(text) else 0 end) o, count(*) filter (role = 'assistant') c from conversations group by 1, 2)
 select conv_id, c::bigint calls, i::bigint input_tokens, o::bigint output_tokens, {rounded_sql('(i * ip + o * op) / 1000000', 'usd')} usd from u join mm using (k) where c > 0""")
 def accrued_spend(spark, sf_dir):
@@ -450,6 +489,15 @@ def stage_status(spark, sf_dir):
     return ledger.shown_status(entries, current).select("track_id", "stage", "shown")
 
 
+@query(f"""with {_LOG}, t as (select distinct track_id from lg), n(p, stage) as (values (1, 'source'), (2, 'audio_features'), (3, 'lyrics')),
+m as (select t.track_id, string_agg(stage, ',' order by p) missing from t cross join n where (t.track_id, stage) not in (select track_id, stage from nw) group by 1)
+select track_id, coalesce(missing, '') missing, missing is null ready from t left join m using (track_id)""")
+def prerequisites(spark, sf_dir):
+    manifests = _manifests(spark, sf_dir)
+    found = ledger.ready(manifests.select("track_id"), documents.manifest_entries(manifests), ("source", "audio_features", "lyrics"))
+    return found.select("track_id", F.array_join("missing", ",").alias("missing"), "ready")
+
+
 @query("""with lg as (select substr(sha256(conv_id::varchar), 1, 16) track_id, turn, role, ['source', 'stems', 'audio_features', 'lyrics', 'video'][(turn % 5 + 1)::int] stage from conversations),
 nw as (select * from lg qualify row_number() over (partition by track_id, stage order by turn desc) = 1) select distinct track_id from lg where track_id not in (select track_id from nw where stage = 'lyrics' and role = 'user')""")
 def work_list(spark, sf_dir):
@@ -532,7 +580,9 @@ def shot_coverage_repair(spark, sf_dir):
     return shots.covering(tracks, scenes, ["user_id"])
 
 
-@query()
+@query(f"""with recursive {_E}, d as (select user_id, i, abs(v - lag(v) over (partition by user_id order by i)) / 3 d from e), o as (select user_id, i from d where d >= 27),
+nx as (select user_id, i, min(i) over (partition by user_id order by i range between 3 following and unbounded following) n from o), c(user_id, i) as (select user_id, min(i) from o where i >= 3 group by 1 union all select c.user_id, nx.n from c join nx on c.user_id = nx.user_id and c.i = nx.i where nx.n is not null)
+select user_id, i frame from c""")
 def shot_detection(spark, sf_dir):
     s = _series(spark, sf_dir).select("user_id", F.col("i").alias("frame"), F.col("v").alias("h"), F.lit(0.0).alias("s"), F.lit(0.0).alias("v"))
     return shots.cuts_from_deltas(s, ["user_id"], 27.0, 3)
@@ -564,18 +614,31 @@ def word_confidence(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(lines.words_of(each)).alias("n_words"), rounded(mean, "ratio").alias("confidence"))
 
 
-@query("select distinct substr(sha256(conv_id::varchar), 1, 16) track_id, true same from conversations")
+@query("""select page_id, sha256('{"schema_version":"1.0.0","track_id":"' || substr(sha256(html), 1, 16) || '","file":{"original_path":"/x/' || page_id || '.html","filename":"' || page_id || '.html","size_bytes":' || strlen(html)
+ || ',"sha256":"' || sha256(html) || '"},"media":{"container":"mp4","duration_seconds":' || (page_id % 7) || '.5,"tags":{"title":"' || page_id || '"}}}') content_sha256 from pages""")
 def document_round_trip(spark, sf_dir):
-    """Manifests written as canonical text and read back give the same hash."""
-    held = documents.with_hash(_manifests(spark, sf_dir), "manifest")
-    again = held.select(documents.parsed(F.col("document"), "manifest").alias("d")).select("d.*")
-    back = documents.with_hash(again, "manifest").select("track_id", F.col("content_sha256").alias("again"))
-    return held.join(back, "track_id").select("track_id", (F.col("content_sha256") == F.col("again")).alias("same"))
-
-
-@query("select 0::bigint n where false")
+    """Source documents written as canonical text, read back and written again; SQL writes the text of its own."""
+    name = F.concat(F.col("page_id").cast("string"), F.lit(".html"))
+    file = F.struct(F.concat(F.lit("/x/"), name).alias("original_path"), name.alias("filename"), F.octet_length("html").cast("long").alias("size_bytes"), S.content_sha256("html").alias("sha256"))
+    empty = "cast(null as struct<{}>)"
+    tags = F.struct(F.col("page_id").cast("string").alias("title"), F.lit(None).cast("string").alias("artist"))
+    kind = dict(f.split(" ", 1) for f in schemas.DDL["source"].split(", "))
+    made = F.struct(F.lit("mp4").alias("container"), (F.col("page_id") % 7 + 0.5).alias("duration_seconds"), tags.alias("tags"), F.expr(empty.format("codec:string,sample_rate:int,channels:int,bit_rate:int")).alias("audio"), F.expr(empty.format("codec:string,width:int,height:int,fps:double,frame_count:int")).alias("video"))
+    none = lambda c: F.lit(None).cast(kind[c]).alias(c)
+    rows = table(spark, sf_dir, "pages").select(F.lit("1.0.0").alias("schema_version"), S.track_id("html").alias("track_id"), file.alias("file"), none("normalized_audio"), made.alias("media"), none("lyrics_input"))
+    held = documents.with_hash(rows, "source")
+    again = documents.with_hash(held.select(documents.parsed(F.col("document"), "source").alias("d")).select("d.*"), "source")
+    return again.select(F.get_json_object("document", "$.media.tags.title").cast("long").alias("page_id"), "content_sha256")
+
+
+@query("""with c as (select distinct conv_id from conversations) select 'track_id' as "field", count(*) n from c where conv_id % 7 = 0 having count(*) > 0
+union all select 'documents.source.status', count(*) from c where conv_id % 5 = 0 having count(*) > 0""")
 def document_faults(spark, sf_dir):
-    return documents.faults(_manifests(spark, sf_dir), "manifest").groupBy("constraint").agg(F.count("*").alias("n")).select("n")
+    """Every seventh manifest has an id that is none, every fifth a status that is none."""
+    c = F.regexp_extract("title", r"(\d+)", 1).cast("long")
+    odd = F.col("documents").withField("source.status", F.when(c % 5 == 0, "lost").otherwise(F.col("documents.source.status")))
+    planted = _manifests(spark, sf_dir).withColumn("track_id", F.when(c % 7 == 0, F.upper(F.concat(F.lit("x"), "track_id"))).otherwise(F.col("track_id"))).withColumn("documents", odd)
+    return documents.faults(planted, "manifest").groupBy(F.regexp_extract("constraint", r"^[a-z_.]+", 0).alias("field")).agg(F.count("*").alias("n"))
 
 
 @query("select distinct substr(sha256(conv_id::varchar), 1, 16) track_id from conversations")
@@ -590,7 +653,15 @@ def id_resolution(spark, sf_dir):
     return documents.resolve(names, p)
 
 
-@query("select * from (values " + ", ".join(f"('{s}', '{h}')" for s, h in config.current_hashes(config.Config())) + ") as t(stage, current_hash)")
+#: The canonical JSON of every section with its defaults, "|" for a line feed.
+_SECTIONS = """('source', '{|  "sample_rate": 44100,|  "channels": 2,|  "copy_video": false|}|'),
+('stems', '{|  "retain": true,|  "model": "htdemucs",|  "device": "auto",|  "cpu_threads": 1|}|'),
+('audio_features', '{|  "vocal_enter_db": -35.0,|  "vocal_exit_db": -45.0,|  "vocal_min_region_seconds": 0.3,|  "vocal_min_gap_seconds": 0.2,|  "phase_fit_window_seconds": 0.03|}|'),
+('lyrics', '{|  "model": "small",|  "language": null,|  "confidence_threshold": 0.5,|  "long_word_seconds": 2.5,|  "flag_no_speech_threshold": 0.5,|  "compression_ratio_threshold": 2.4,|  "overlap_rms_db": -15.0,|  "min_anchor_score": 0.6,|  "uncovered_min_seconds": 1.0,|  "fallback_language": "en",|  "clip_to_vocal_activity": true,|  "clip_padding_seconds": 0.5,|  "decode_no_speech_threshold": 0.6|}|'),
+('video', '{|  "detector_threshold": 27.0,|  "min_shot_seconds": 0.4,|  "caption_backend": "null",|  "caption_model": "claude-haiku-4-5",|  "caption_prompt_version": "v1",|  "caption_max_output_tokens": 300,|  "caption_budget_usd_per_run": 0.5|}|')"""
+
+
+@query(f"select stage, substr(sha256(replace(j, '|', chr(10))), 1, 16) current_hash from (values {_SECTIONS}) as t(stage, j)")
 def config_hashes(spark, sf_dir):
     return spark.createDataFrame(config.current_hashes(config.Config()), "stage string, current_hash string")
 

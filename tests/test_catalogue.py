@@ -21,7 +21,3 @@ def test_query(spark, con, name):
     else:
         assert len(found)
     assert len(set(found.columns)) == len(found.columns)
-
-
-def test_round_trip_keeps_documents(spark):
-    assert catalogue.QUERIES["document_round_trip"](spark, str(DATA)).where("not same").count() == 0
