@@ -284,8 +284,3 @@ def near_repetition(lines: DataFrame, keys: Sequence[str], text: str = "text", *
     clusters = forms.join(labelled, [*keys, "first"]).select(*keys, "normal", "cluster", "c")
     sizes = clusters.groupBy(*keys, "cluster").agg(F.sum("c").alias("n")).where(F.col("n") >= least)
     return held.join(clusters.drop("c"), [*keys, "normal"]).join(sizes, [*keys, "cluster"]).select(*keys, "line_idx", "cluster", "n")
-
-
-def spans_of_words(lines: DataFrame, keys: Sequence[str], words: str = "words") -> DataFrame:
-    return lines.select(*keys, F.explode(words).alias("_w")).select(*keys, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"))
-

@@ -673,6 +673,30 @@ def schema_export(spark, sf_dir):
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in schemas.exported().items()], "document string, schema string")
 
 
+@query(f"""with e as (select event_id, value v from events) select event_id, 20 * log10(greatest(v / 500, 1e-12)) <= -80 + 1e-9 silent, event_id * 441.0::double / 44100.0::double at_seconds, {rounded_sql('sqrt((v + 3) * (v + 3) + 16.0)', 'seconds')} diagonal,
+ 'first: ' || left(repeat(event_id::varchar, 100), 200) || '; retry: ' || left(repeat('x', event_id::int % 400), 250) "error", printf('%d calls, about %d input and up to %d output tokens, $%.4f', event_id, event_id * 7, event_id * 3, floor(v * 16) / 16.0) estimate,
+ least(event_id % 4000 + 1, 1280)::int width, case when event_id % 4000 + 1 > 1280 then greatest(1, round_even(720 * 1280 / (event_id % 4000 + 1)::double, 0)::int) else 720 end::int height from e""")
+def scalar_forms(spark, sf_dir):
+    """Small forms of documents and messages, over events."""
+    n, v = F.col("event_id"), F.col("value")
+    width, height = media.still_size((n % 4000 + 1).cast("int"), F.lit(720))
+    error = S.combined_error(F.repeat(n.cast("string"), 100), F.repeat(F.lit("x"), (n % 400).cast("int")))
+    shown = S.estimate_text(n, n * 7, n * 3, F.floor(v * 16) / 16.0)
+    return table(spark, sf_dir, "events").select("event_id", S.silent(20 * F.log10(F.greatest(v / 500, F.lit(1e-12)))).alias("silent"), S.frame_seconds(n).alias("at_seconds"), rounded(S.diagonal(v + 3, F.lit(4)), "seconds").alias("diagonal"), error.alias("error"), shown.alias("estimate"), width.alias("width"), height.alias("height"))
+
+
+@query("""with lg as (select conv_id, turn, role, ['source', 'stems', 'audio_features', 'lyrics', 'video'][(turn % 5 + 1)::int] stage, text from conversations), c as (select conv_id k, max(text) reply from conversations where turn = 1 group by 1)
+select lg.conv_id, turn, row_number() over (partition by lg.conv_id, stage order by turn) as version, c.reply, case when role = 'user' then 'failed' end status, case when role = 'user' then left(text, 500) end "error" from lg left join c on c.k = lg.conv_id""")
+def run_versions(spark, sf_dir):
+    """Every run of a stage with its number, the reply that its cache holds, and the entry that a failed run leaves."""
+    c = table(spark, sf_dir, "conversations")
+    stage = F.element_at(F.array(*map(F.lit, ledger.STAGES[:5])), (F.col("turn") % 5 + 1).cast("int"))
+    runs = ledger.versions(c.withColumn("stage", stage), ["conv_id", "stage"], "turn")
+    replies = c.where("turn = 1").groupBy("conv_id").agg(F.max("text").alias("reply"))
+    entry = F.when(F.col("role") == "user", ledger.failed_entry(F.col("text")))
+    return ledger.cached(runs, replies, "conv_id").select("conv_id", "turn", "version", "reply", entry["status"].alias("status"), entry["error"].alias("error"))
+
+
 # Numeric kernels on synthetic audio made from the events: one click per event, a day is two seconds.
 
 @query()

@@ -80,3 +80,23 @@ def motion_size(width: Column, height: Column, target: int = 320) -> tuple[Colum
 def still_size(width: Column, height: Column, most: int = 1280) -> tuple[Column, Column]:
     """Size of stored stills: never wider than ``most``, never enlarged."""
     return F.least(width, F.lit(most)), F.when(width > most, F.greatest(F.lit(1), F.bround(height * most / width, 0).cast("int"))).otherwise(height)
+
+
+def at_rate(decoded: DataFrame, rate: int = 44100, column: str = "sample_rate") -> DataFrame:
+    """``decoded`` as it is; the job fails at the first row of another sample rate, since frames are counted in samples of this one."""
+    fault = F.raise_error(F.concat(F.lit("sample rate "), F.coalesce(F.col(column).cast("string"), F.lit("unknown")), F.lit(f", wanted {rate}"))).cast("int")
+    return decoded.withColumn(column, F.when(F.col(column) == rate, F.col(column)).otherwise(fault))
+
+
+def frames_at(frames: DataFrame, plan: DataFrame, keys: list[str], frame: str = "frame") -> DataFrame:
+    """The rows of ``frames`` (keys..., frame, ...) that ``plan`` (keys..., frame) asks for; the job fails where a track is too short to
+    have one of them."""
+    held = plan.select(*keys, frame).distinct().join(frames.withColumn("_there", F.lit(True)), [*keys, frame], "left")
+    fault = F.raise_error(F.concat(F.lit("too short: no frame "), F.col(frame).cast("string"))).cast("boolean")
+    return held.where(F.when(F.col("_there"), F.lit(True)).otherwise(fault)).drop("_there")
+
+
+def video_copy(path: Column, copy: bool, media: Column, at: str = "media") -> Column:
+    """Where the first video of a track is kept: its own path, or, with copies asked for, a path by content; null without video."""
+    kept = F.concat(F.lit(f"{at}/"), F.sha2(path.cast("binary"), 256), F.lit("."), F.lower(F.element_at(F.split(path, r"\."), -1))) if copy else path
+    return F.when(media["video"].isNotNull(), kept)

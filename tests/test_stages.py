@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from meterline import cli
@@ -124,3 +125,38 @@ def test_library(spark, tmp_path, capsys):
     assert cli.main(["costs", root]) == 0 and '"runs": 2' in capsys.readouterr().out
     assert cli.main(["status", root]) == 0 and "lyrics=failed" in capsys.readouterr().out
     assert cli.main(["export-schemas", "--out", str(tmp_path / "s")]) == 0 and (tmp_path / "s/lyrics.schema.json").is_file()
+
+
+def test_prerequisites_rates_and_frames_are_refused(spark):
+
+    tracks = spark.createDataFrame([("a",), ("b",)], "track_id string")
+    entries = spark.createDataFrame([("a", "source", "ok"), ("a", "lyrics", "ok"), ("b", "source", "ok"), ("b", "lyrics", "failed")], "track_id string, stage string, status string")
+    assert ledger.required(tracks.where("track_id = 'a'"), entries, ["source", "lyrics"]).count() == 1
+    with pytest.raises(Exception, match="track b needs lyrics"):
+        ledger.required(tracks, entries, ["source", "lyrics"]).collect()
+    rates = spark.createDataFrame([("a", 44100), ("b", 48000)], "track_id string, sample_rate int")
+    assert media.at_rate(rates.where("track_id = 'a'")).count() == 1
+    with pytest.raises(Exception, match="sample rate 48000, wanted 44100"):
+        media.at_rate(rates).collect()
+    frames = spark.createDataFrame([("a", i, i * 2) for i in range(5)], "track_id string, frame int, v int")
+    plan = spark.createDataFrame([("a", 1), ("a", 4), ("a", 4)], "track_id string, frame int")
+    assert sorted(r.v for r in media.frames_at(frames, plan, ["track_id"]).collect()) == [2, 8]
+    with pytest.raises(Exception, match="too short: no frame 9"):
+        media.frames_at(frames, spark.createDataFrame([("a", 9)], "track_id string, frame int"), ["track_id"]).collect()
+
+
+def test_a_run_beyond_its_budget_makes_no_call(spark):
+
+    frames = [(100, 75)]
+    calls = spark.createDataFrame([(r, ledger.PRICES[0][0], frames, f"{r}-{i}") for r, n in (("small", 2), ("large", 50), ("cached", 50)) for i in range(n)], "run string, model string, frames array<struct<width:int,height:int>>, cache_key string")
+    cache = spark.createDataFrame([(f"cached-{i}",) for i in range(49)], "cache_key string")
+    gates, allowed = ledger.spendable(calls, cache, ledger.prices(spark), ["run"], 0.01)
+    assert {r.run: (r.calls, r.within_budget) for r in gates.collect()} == {"small": (2, True), "large": (50, False), "cached": (1, True)}
+    assert sorted(r.cache_key for r in allowed.collect()) == ["cached-49", "small-0", "small-1"]
+
+
+def test_the_video_is_kept_where_asked(spark):
+
+    rows = spark.sql("select '/x/a.MP4' path, named_struct('video', named_struct('codec', 'h264')) m union all select '/x/b.flac', named_struct('video', null)")
+    (own, none), (copied, _) = ([r[0] for r in rows.select(media.video_copy(F.col("path"), c, F.col("m"))).collect()] for c in (False, True))
+    assert own == "/x/a.MP4" and none is None and copied.startswith("media/") and copied.endswith(".mp4") and len(copied) == len("media/") + 64 + 4
