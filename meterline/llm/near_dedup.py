@@ -205,15 +205,19 @@ def _tested(ws: Workspace, name: str, texts: DataFrame, classes: DataFrame, rows
     return None if links.isEmpty() else links
 
 
-def _labelled(placed: DataFrame, found: DataFrame) -> DataFrame:
+def _labelled(ws: Workspace, name: str, placed: DataFrame, found: DataFrame | None) -> DataFrame:
     """The rows of ``placed`` whose bucket holds several components, with their component, the number ``c`` of its members in the
     bucket and the first of them, and the bucket's largest component, members and ``some``, the members that stand for all."""
-    known = found.toDF("doc_id", "component")
-    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS // 8 else known
-    rows = placed.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = placed.withColumn("component", F.col("doc_id"))
+    if found is not None:
+        known = found.withColumnsRenamed({"node": "doc_id", "component": "of"})
+        known = F.broadcast(known) if known.count() <= BROADCAST_ROWS // 8 else known
+        rows = placed.join(known, "doc_id", "left").withColumn("component", F.coalesce("of", "doc_id")).drop("of")
     sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.min("doc_id").alias("lead"))
     stats = sizes.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.least("c", F.lit(MEMBERS))).alias("some"), F.max_by("component", "c").alias("top"), F.max("c").alias("top_n"), F.count("*").alias("k")).where("k > 1")
-    return rows.join(stats, "bucket").join(sizes, ["bucket", "component"])
+    # One row for each component of a bucket: where there are many, AQE splits the rows of a large one.
+    sizes = ws.write(sizes.join(stats, "bucket"), f"{name}-sizes")
+    return rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS // 4 else sizes, ["bucket", "component"])
 
 
 def _components(ws: Workspace, texts: DataFrame, classes: DataFrame, k: int, percent: int, block_docs: int) -> DataFrame | None:
@@ -236,17 +240,17 @@ def _components(ws: Workspace, texts: DataFrame, classes: DataFrame, k: int, per
     def within(rows: DataFrame, salt: int, n_blocks) -> DataFrame:
         return rows.withColumn("block", block(salt, n_blocks)).withColumn("left", F.col("block")).withColumn("right", F.col("block"))
 
-    def first(found: DataFrame) -> DataFrame:
+    def first(found: DataFrame | None) -> DataFrame:
         return within(placed.where(F.col("band") < FIRST_BANDS).withColumn("component", F.col("doc_id")), 1, F.col("n_blocks"))
 
-    def some(found: DataFrame) -> DataFrame:
-        rows = _labelled(placed.where((F.col("band") >= FIRST_BANDS) | (F.col("n_blocks") > 1)), found)
+    def some(found: DataFrame | None) -> DataFrame:
+        rows = _labelled(ws, "some", placed.where((F.col("band") >= FIRST_BANDS) | (F.col("n_blocks") > 1)), found)
         stands = (F.col("n_blocks") == 1) | (F.col("doc_id") == F.col("lead")) | (block(3, F.ceil(F.col("c") / MEMBERS)) == 0)
         return within(rows.where(stands), 2, F.when(F.col("n_blocks") == 1, 1).otherwise(F.ceil(F.col("some") / block_docs)))
 
-    def rest(found: DataFrame) -> DataFrame:
+    def rest(found: DataFrame | None) -> DataFrame:
         # The largest component has the blocks from 0 on, the others those behind; each of these meets every block.
-        rows = _labelled(placed.where("n_blocks > 1"), found).withColumn("others", F.ceil(F.col("n_blocks") * (F.col("n") - F.col("top_n")) / F.col("n")).cast("int"))
+        rows = _labelled(ws, "rest", placed.where("n_blocks > 1"), found).withColumn("others", F.ceil(F.col("n_blocks") * (F.col("n") - F.col("top_n")) / F.col("n")).cast("int"))
         inner = F.col("component") == F.col("top")
         rows = rows.withColumn("block", F.when(inner, block(4, F.col("n_blocks"))).otherwise(F.col("n_blocks") + block(4, F.col("others"))))
         meets = F.explode(F.sequence(F.when(inner, F.col("n_blocks")).otherwise(0), F.col("n_blocks") + F.col("others") - 1)).alias("other")
@@ -254,8 +258,7 @@ def _components(ws: Workspace, texts: DataFrame, classes: DataFrame, k: int, per
 
     found = None
     for tasks in (first, some, rest):
-        rows = tasks(found if found is not None else ws.spark.createDataFrame([], "node long, component long"))
-        links = _tested(ws, tasks.__name__, texts, classes, rows, k, percent)
+        links = _tested(ws, tasks.__name__, texts, classes, tasks(found), k, percent)
         if links is not None:
             links = links if found is None else links.union(found.toDF("a", "b"))
             found = connected_components(links, Workspace(ws.spark, f"near-dedup-{tasks.__name__}"))
