@@ -94,8 +94,7 @@ def repeated_units(docs: DataFrame, ws: Workspace) -> DataFrame:
     digest, place = ["digest_a", "digest_b"], F.struct("doc_id", "version", "unit")
     groups = units.groupBy(*digest).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = ws.write(groups, "groups")
-    if groups.count() <= BROADCAST_ROWS // 4:
-        groups = F.broadcast(groups)
+    # Units meet their group by a shuffle at every size; AQE splits what a common digest brings together.
     # Equal rows of a document hold the same units; each counts once.
     repeats = units.join(groups, digest).where(place > F.col("first")).drop(*digest).distinct()
     run = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id", "version").orderBy("unit"))
