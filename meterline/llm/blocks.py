@@ -84,17 +84,19 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it has no such call
+        pass
+
+
 def returning_memory(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow whose worker gives freed memory back to the system, now and then and when a task ends; Spark
     keeps workers for later stages, whose own needs would come on top."""
 
-    def give_back() -> None:
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # another C library: it has no such call
-            pass
-
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

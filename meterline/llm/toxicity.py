@@ -176,7 +176,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *,
     ids = got.column("found")
     lists = [ids[i].values.to_numpy().view(np.uint64) for i in range(len(ids))]
     folds, ys = got.column("_fold").to_pylist(), np.stack([got.column(c).to_numpy() for c in categories], axis=1) if len(ids) else np.zeros((0, len(categories)))
-    return train([(folds[i], lists[i], ys[i].tolist()) for i in range(len(ids))], list(categories))
+    chain = train([(folds[i], lists[i], ys[i].tolist()) for i in range(len(ids))], list(categories))
+    del got, ids, lists
+    blocks.give_back()
+    return chain
 
 
 def _scored(chain: Chain) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
