@@ -377,7 +377,15 @@ def word_pairing(spark, sf_dir):
     return each.select("conv_id", "turn", "word_idx", "supplied", F.element_at("observed", (j + 1).cast("int"))["text"].alias("observed"))
 
 
-@query()
+#: The longest common subsequence letter by letter: a row of the table is the running maximum of its candidates.
+@query(f"""with recursive t as (select conv_id, turn, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}\\p{{M}}_'']+', '', 'g') <> '') w from conversations),
+p as (select a.conv_id, a.turn, a.w s, b.w o, len(a.w) n, len(b.w) m, unnest(range(0, len(a.w))) i from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where len(a.w) > 0 and len(b.w) > 0),
+q as (select conv_id, turn, i, s[i + 1] x, o[(case when n = 1 then 0 else round_even(i * (m - 1) / (n - 1)::double, 0) end)::int + 1] y from p),
+z as (select *, regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}\\p{{M}}_'']+', '', 'g') a, regexp_replace(lower(y), '[^\\p{{L}}\\p{{N}}\\p{{M}}_'']+', '', 'g') b from q),
+r(a, b, k, row) as (select distinct a, b, 0, list_transform(range(0, length(b)), lambda j: 0::bigint) from z union all select a, b, k + 1, list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+  lambda i: case when substr(b, i::int, 1) = substr(a, k + 1, 1) then case when i > 1 then row[i - 1] else 0 end + 1 else row[i] end))) from r where k < length(a)),
+l as (select a, b, row[length(b)] n from r where k = length(a))
+select conv_id, turn, i::int word_idx, x as "text", 0.0::double as "start", 0.25::double as "end", {rounded_sql('2.0::double * n / (length(a) + length(b))', 'ratio')} confidence from z join l using (a, b)""")
 def paired_words(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("w"))
     other = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.transform("w", lambda t: F.struct(t.alias("text"), F.lit(0.0).alias("start"), F.lit(0.25).alias("end"))).alias("observed"))
@@ -666,11 +674,26 @@ def config_hashes(spark, sf_dir):
     return spark.createDataFrame(config.current_hashes(config.Config()), "stage string, current_hash string")
 
 
-@query()
+#: The fields of every document in order, with what they hold.
+_FIELDS = {
+    "source": "schema_version:string track_id:string file:struct normalized_audio:struct media:struct lyrics_input:struct",
+    "audio_features": "schema_version:string track_id:string duration_seconds:double tempo:struct beats:struct loudness:struct mix:struct stems:struct vocal_activity:struct",
+    "lyrics": "schema_version:string track_id:string mode:string language:string engine:struct lines:array supplied_markup:array untranscribed_regions:array coverage:struct",
+    "video": "schema_version:string track_id:string video_span:struct detector:struct caption_backend:struct shots:array",
+    "structure": "schema_version:string track_id:string sections:array editing:struct",
+    "manifest": "schema_version:string track_id:string title:string artist:string has_video:boolean created_at:string documents:struct stems:struct",
+}
+
+
+@query("select * from (values " + ", ".join(f"('{d}', {i}, '{f.split(':')[0]}', '{f.split(':')[1]}')" for d, fs in _FIELDS.items() for i, f in enumerate(fs.split())) + ") as t(document, place, field, kind)")
 def schema_export(spark, sf_dir):
+    """Top-level fields of the exported schemas, read back from their JSON."""
     import json
 
-    return spark.createDataFrame([(k, json.dumps(v)) for k, v in schemas.exported().items()], "document string, schema string")
+    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in schemas.exported().items()], "document string, schema string")
+    each = rows.select("document", F.posexplode(F.from_json(F.get_json_object("schema", "$.fields"), "array<struct<name:string,type:string>>")).alias("place", "f"))
+    kind = F.coalesce(F.get_json_object("f.type", "$.type"), F.col("f.type"))
+    return each.select("document", "place", F.col("f.name").alias("field"), kind.alias("kind"))
 
 
 @query(f"""with e as (select event_id, value v from events) select event_id, 20 * log10(greatest(v / 500, 1e-12)) <= -80 + 1e-9 silent, event_id * 441.0::double / 44100.0::double at_seconds, {rounded_sql('sqrt((v + 3) * (v + 3) + 16.0)', 'seconds')} diagonal,
