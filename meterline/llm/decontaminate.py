@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import blocks
-from .workspace import Workspace, table, without
+from .workspace import BROADCAST_ROWS, Workspace, table, without
 
 WINDOW, GRAM = 8, 5
-#: Benchmark text that goes to the workers at once; a larger benchmark is taken in several such blocks.
+#: A benchmark of so much text goes to the workers whole; the fingerprints of a larger one are joined with those of the documents.
 BLOCK_BYTES = 16 << 20
 
 
@@ -177,8 +177,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     window, ascending. A window is ``window`` consecutive words of an item; a shorter item, but not an empty one, is one window.
     Null or empty texts have no words and hit nothing; null item_ids are left out, other ids keep their type; items with equal
     texts all count. Repeated documents give repeated rows, an empty table none; an empty benchmark hits nothing. A very long text
-    is searched whole, in memory of some tens of times its bytes. The benchmark goes to the workers in blocks of ``block_bytes`` of text: a small one takes one
-    pass without a shuffle, a larger one a pass for each block, whose spans and items are then united per row.
+    is searched whole, in memory of some tens of times its bytes. A benchmark of up to ``block_bytes`` of text goes to the workers
+    whole: one pass without a shuffle. Beyond that fingerprints are joined by a shuffle, and only documents that share one with an
+    item meet its text.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -186,30 +187,77 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     of_id = items.schema["item_id"].dataType
     schema, kind = SCHEMA.format(of_id.simpleString()), to_arrow_type(of_id)
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n_blocks = -(-total // block_bytes)
-    if n_blocks <= 1:
+    if total <= block_bytes:
         rows = items.collect()
         return blocks.map_arrow(texts, _searched([r[0] for r in rows], [r[1] for r in rows], kind, window, gram), schema)
     ws = Workspace(spark, "decontaminate")
-    numbered = ws.write(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))).repartition("block"), "items")
+    items = ws.write(items.withColumn("item", F.monotonically_increasing_id()), "items")
     rows = ws.write(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
-    out = None
-    for b in range(n_blocks):
-        part = numbered.where(F.col("block") == b).select("item_id", "text").collect()
-        search = blocks.map_arrow(rows.select(F.col("row").alias("doc_id"), "text"), _searched([r[0] for r in part], [r[1] for r in part], kind, window, gram), schema)
-        found = search.where("size(spans) > 0").select(F.col("doc_id").alias("row"), F.explode(F.transform("spans", lambda s: F.struct(s["start"], s["end"]))).alias("span"), "items")
-        out = found if out is None else out.union(found)
-    united = out.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    merged = F.aggregate(
-        "all",
-        F.array().cast("array<struct<start:long,end:long>>"),
-        lambda done, s: F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= s["start"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.try_element_at(done, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(done, F.lit(-1))["end"], s["end"]).alias("end"))))
-        ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    counted = blocks.map_arrow(rows.select("row", "doc_id", "text"), _counted, "row long, doc_id long, n_words long")
-    joined = counted.join(united.select("row", merged.alias("spans"), "items"), "row", "left")
-    return joined.select("doc_id", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"), F.coalesce("items", F.array().cast(f"array<{of_id.simpleString()}>")).alias("items"))
+    lengths = [r[0] for r in blocks.map_arrow(items.select("item", "text"), _short(window), "n long").distinct().collect()]
+    prints = lambda of, key, whole: blocks.map_arrow(of.select(key, "text"), _prints(key, lengths, whole, window, gram), f"{key} long, print long")
+    # Hashes meet, not texts; what shares one is searched word by word.
+    pairs = ws.write(prints(rows, "row", False).join(prints(items, "item", True), "print").select("row", "item").distinct(), "pairs")
+    hit = pairs.select("row").distinct()
+    if hit.count() <= BROADCAST_ROWS:
+        hit = F.broadcast(hit)
+    held = pairs.join(items, "item").groupBy("row").agg(F.collect_list(F.struct("item_id", F.col("text").alias("words"))).alias("near"))
+    found = blocks.map_arrow(rows.join(hit, "row", "left_semi").join(held, "row").select("row", "text", "near"), _extended(kind, window, gram), "row long, " + schema.split(", ", 2)[2])
+    joined = blocks.map_arrow(rows.select("row", "doc_id", "text"), _counted, "row long, doc_id long, n_words long").join(found, "row", "left")
+    empty = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
+    return joined.select("doc_id", "n_words", empty("spans"), empty("items"))
+
+
+def _short(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lengths of the items that have fewer words than a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks.chunks(batches, "text"):
+            counts = np.unique(blocks.Words(part.column(1), blocks.NOT_ALNUM, hashes=False).counts)
+            yield pa.RecordBatch.from_arrays([pa.array(counts[(counts > 0) & (counts < window)])], names=["n"])
+
+    return run
+
+
+def _prints(key: str, lengths: list[int], whole_items: bool, window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Distinct fingerprints of each text, and hashes of its windows of the lengths that short items have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks.chunks(batches, "text"):
+            words = blocks.Words(part.column(1), blocks.NOT_ALNUM)
+            grams, inside = words.windows(gram)
+            at = fingerprints(grams, inside & (words.counts >= window)[words.text_of] if len(grams) else inside, words.first, window - gram + 1)
+            values, owner = [grams[at]], [words.text_of[at]]
+            for length in lengths:
+                hashes, inside = words.windows(length)
+                at = np.flatnonzero(inside & (words.counts == length)[words.text_of] if whole_items else inside) if len(hashes) else np.zeros(0, np.int64)
+                values.append(blocks.mix(hashes[at] + np.uint64(length)))
+                owner.append(words.text_of[at])
+            values, owner = np.concatenate(values), np.concatenate(owner)
+            order = np.lexsort((values, owner))
+            values, owner = values[order], owner[order]
+            fresh = np.ones(len(values), bool)
+            fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner[fresh])), pa.array(values[fresh].view(np.int64))], names=[key, "print"])
+
+    return run
+
+
+def _extended(kind: pa.DataType, window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Spans and items of texts, each of which has the items that share a hash with it; others of a chunk may only add true hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks.chunks(batches, "text"):
+            near = part.column(2).flatten()
+            items = set(zip(near.field(0).to_pylist(), near.field(1).to_pylist(), strict=True))
+            ids, texts = zip(*sorted(items), strict=True)
+            benchmark = Benchmark(list(ids), list(texts), window, gram)
+            words = blocks.Words(part.column(1), blocks.NOT_ALNUM)
+            hit, text, item = benchmark.search(words)
+            named = pa.array(benchmark.ids, kind).take(pa.array(item))
+            found = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(words.counts) + 1)).astype(np.int32)), named)
+            yield pa.RecordBatch.from_arrays([part.column(0), _spans(words, hit), found], names=["row", "spans", "items"])
+
+    return run
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
