@@ -118,27 +118,42 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((p[order][at] + below) / 2, 0.2, 0.8))
 
 
+def _counts(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in ascending order, and how often each occurs."""
+    values = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+    values.sort()
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    at = np.flatnonzero(fresh)
+    return values[at], np.diff(np.append(at, len(values)))
+
+
 def train(rows: list[tuple[int, np.ndarray, list[float]]], categories: list[str]) -> Chain:
     """``rows``: (fold number, distinct feature hashes, 0/1 label of each category). Without rows nothing is ever found."""
     n, m = len(rows), len(categories)
     y = np.array([r[2] for r in rows], float).reshape(n, m)
-    owner = np.repeat(np.arange(n), [len(r[1]) for r in rows])
-    values = np.concatenate([r[1] for r in rows]) if n else np.zeros(0, np.uint64)
-    distinct, column = np.unique(values, return_inverse=True)
-    seen = np.bincount(column, minlength=len(distinct))
+    # Features are counted by sorting; what the chosen ones don't need is never held as indices.
+    distinct, seen = _counts([r[1] for r in rows])
     chosen = np.zeros(len(distinct), bool)
     for k in range(m):
         total = y[:, k].sum()
         with np.errstate(divide="ignore", invalid="ignore"):
-            both = np.bincount(column, y[owner, k], len(distinct))
+            held, times = _counts([r[1] for r, on in zip(rows, y[:, k] > 0, strict=True) if on])
+            both = np.zeros(len(distinct))
+            both[np.searchsorted(distinct, held)] = times
             expected = seen * total / max(n, 1)
             chi = (both - expected) ** 2 * n / (expected * (1 - total / max(n, 1)) * (n - seen))
         chi = np.where((seen >= 3) & np.isfinite(chi), chi, 0)
         best = np.lexsort((distinct, -chi))[:FEATURES]
         chosen[best[chi[best] >= 10.83]] = True
     keys = distinct[chosen]
-    held = chosen[column]
-    owner, column = owner[held], (np.cumsum(chosen) - 1)[column[held]]
+    owner, column = [], []
+    for i, r in enumerate(rows):
+        at = np.searchsorted(keys, r[1])
+        at = at[keys[np.minimum(at, len(keys) - 1)] == r[1]] if len(keys) else at[:0]
+        column.append(at)
+        owner.append(np.full(len(at), i))
+    owner, column = (np.concatenate(x) if n else np.zeros(0, np.int64) for x in (owner, column))
     fold = np.array([r[0] for r in rows], int) % FOLDS
     weights, bias, links, thresholds = np.zeros((m, len(keys))), np.full(m, -8.0), np.zeros((m, m)), np.full(m, 0.5)
     earlier = np.zeros((n, 0))  # out-of-fold log-odds of the categories so far
@@ -172,11 +187,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     held = texts.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
     found = blocks.map_arrow(held, _featured, "doc_id long, found array<long>").dropDuplicates(["doc_id"])
-    got = found.join(F.broadcast(sample), "doc_id").withColumn("_fold", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FOLDS))).select("doc_id", "_fold", "found", *categories).toArrow().sort_by("doc_id")
+    got = found.join(F.broadcast(sample), "doc_id").withColumn("_fold", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FOLDS))).select("doc_id", "_fold", "found", *categories).toArrow()
     ids = got.column("found")
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable").tolist()
     lists = [ids[i].values.to_numpy().view(np.uint64) for i in range(len(ids))]
     folds, ys = got.column("_fold").to_pylist(), np.stack([got.column(c).to_numpy() for c in categories], axis=1) if len(ids) else np.zeros((0, len(categories)))
-    chain = train([(folds[i], lists[i], ys[i].tolist()) for i in range(len(ids))], list(categories))
+    chain = train([(folds[i], lists[i], ys[i].tolist()) for i in order], list(categories))
     del got, ids, lists
     blocks.give_back()
     return chain
