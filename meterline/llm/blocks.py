@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 20
@@ -93,12 +94,32 @@ def give_back() -> None:
         pass
 
 
+_KEPT: list[dict] = []
+_stage: list[int | None] = [None]
+
+
+def kept_for_a_stage() -> dict:
+    """A dictionary of a worker that outlives its tasks but not the stage: a later stage's needs don't come on top of it."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def _forget_other_stages() -> None:
+    context = TaskContext.get()
+    now = context.stageId() if context else None
+    if now != _stage[0]:
+        for held in _KEPT:
+            held.clear()
+        _stage[0] = now
+
+
 def returning_memory(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow whose worker gives freed memory back to the system, now and then and when a task ends; Spark
     keeps workers for later stages, whose own needs would come on top."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_other_stages()
         try:
             for n, out in enumerate(run(batches)):
                 yield out

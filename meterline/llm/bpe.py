@@ -29,11 +29,11 @@ from .workspace import table
 
 MODEL = "word_bpe_49k.json"
 #: About so many words and pairs are remembered by a worker, and so many ids of words, in some 64 and 4 bytes each.
-REMEMBERED, PAIRS, HELD_IDS = 500_000, 250_000, 6_000_000
+REMEMBERED, PAIRS, HELD_IDS = 250_000, 120_000, 2_000_000
 _NEVER = np.iinfo(np.int64).max
 _BEYOND = regex.compile("[\u0530-\U0010ffff]")
-#: One codec for each vocabulary file, for as long as a worker lives.
-_CODECS: dict[str, Codec] = {}
+#: One codec for each vocabulary file, for all tasks of a stage that a worker runs.
+_CODECS: dict[str, Codec] = blocks.kept_for_a_stage()
 
 
 def _byte_letters() -> list[str]:
@@ -379,7 +379,7 @@ def encode_decode(docs: DataFrame, *, model: str | None = None) -> DataFrame:
     no shuffle; ``model`` is a path that every executor can open, by default the installed file.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return blocks.map_arrow(texts, _coded(model, 1 << 20), "doc_id long, ids array<int>, decoded string")
+    return blocks.map_arrow(texts, _coded(model, 1 << 19), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -27,8 +27,8 @@ REMEMBERED = 1_000_000
 #: Bytes of parts that are merged in one call.
 CALL_BYTES = 32 << 10
 SPACE = "▁"
-#: One counter for each vocabulary file, for as long as a worker lives.
-_COUNTERS: dict[str, Counter] = {}
+#: One counter for each vocabulary file, for all tasks of a stage that a worker runs.
+_COUNTERS: dict[str, Counter] = blocks.kept_for_a_stage()
 
 
 class Counter:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join may be broadcast only when it was counted and holds at most this many rows of a few bytes each.
 BROADCAST_ROWS = 1_000_000
+#: A task that writes a table holds a row group of about so many bytes.
+ROW_GROUP_BYTES = 16 << 20
 #: Folders that still hold tables, by application, in the order of writing.
 _WRITTEN: dict[str, list[str]] = {}
 
@@ -74,7 +76,7 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
