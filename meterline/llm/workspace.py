@@ -64,6 +64,13 @@ def clear(spark: SparkSession, after: int = 0) -> None:
         _delete(spark, held.pop())
 
 
+def settle(spark: SparkSession) -> None:
+    """Have the executors collect their garbage between two stages of very different needs: a collector that sees no pressure keeps
+    the heap that the stage before has grown, and the next one's Python workers come on top. One short task for each core."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') as done").write.format("noop").mode("overwrite").save()
+
+
 class Workspace:
     """Written tables of one run of one operator. They survive lost executors and cut the lineage."""
 
