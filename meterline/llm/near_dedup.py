@@ -212,7 +212,8 @@ def _labelled(ws: Workspace, name: str, placed: DataFrame, found: DataFrame | No
     if found is not None:
         known = found.withColumnsRenamed({"node": "doc_id", "component": "of"})
         known = F.broadcast(known) if known.count() <= BROADCAST_ROWS // 8 else known
-        rows = placed.join(known, "doc_id", "left").withColumn("component", F.coalesce("of", "doc_id")).drop("of")
+        # Written, since the counts and the tasks read it: the join would run anew for each of them.
+        rows = ws.write(placed.join(known, "doc_id", "left").select("doc_id", "bucket", "n_blocks", F.coalesce("of", "doc_id").alias("component")), f"{name}-labels")
     sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.min("doc_id").alias("lead"))
     stats = sizes.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.least("c", F.lit(MEMBERS))).alias("some"), F.max_by("component", "c").alias("top"), F.max("c").alias("top_n"), F.count("*").alias("k")).where("k > 1")
     # One row for each component of a bucket: where there are many, AQE splits the rows of a large one.
@@ -259,6 +260,7 @@ def _components(ws: Workspace, texts: DataFrame, classes: DataFrame, k: int, per
     found = None
     for tasks in (first, some, rest):
         links = _tested(ws, tasks.__name__, texts, classes, tasks(found), k, percent)
+        ws.drop(f"{tasks.__name__}-labels")
         if links is not None:
             links = links if found is None else links.union(found.toDF("a", "b"))
             found = connected_components(links, Workspace(ws.spark, f"near-dedup-{tasks.__name__}"))

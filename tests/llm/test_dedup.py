@@ -91,6 +91,39 @@ def test_a_large_group_moves_few_texts(make_docs, monkeypatch):
     assert per_doc[1] <= 1.2 * per_doc[0] and per_doc[1] < 8
 
 
+def rows_labelled(spark, after):
+    """Rows that joins of documents with their components have made in queries after the one numbered ``after``, and the last number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    runs = [runs.apply(i).executionId() for i in range(runs.size())]
+    for run in (x for x in runs if x > after):
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in map(nodes.apply, range(nodes.size())):
+            if re.search(r"Join \[doc_id#\w+\], \[doc_id#\w+\], LeftOuter", node.desc()):
+                for metric in map(node.metrics().apply, range(node.metrics().size())):
+                    if metric.name() == "number of output rows" and (value := values.get(metric.accumulatorId())).isDefined():
+                        made += int(value.get().replace(",", ""))
+    return made, max(runs, default=after)
+
+
+def test_rounds_label_each_member_once(spark, make_docs):
+    """A document has 32 bands, of which each of the two later rounds labels every one at most once, however large its group is."""
+    rng, base, per_doc = random.Random(3), [f"w{i * 7919 % 1000}" for i in range(200)], []
+    _, last = rows_labelled(spark, -1)
+    for n in (400, 1600):
+        texts = []
+        for i in range(n):
+            mine = base[:]
+            mine[rng.randrange(200)] = f"x{i}"
+            texts.append(" ".join(mine))
+        got = near_dedup.near_duplicates(make_docs(texts), percent=85, block_docs=100).collect()
+        assert {r.component_id for r in got} == {0}
+        made, last = rows_labelled(spark, last)
+        per_doc.append(made / n)
+    assert 0 < per_doc[0] <= 2 * near_dedup.BANDS and per_doc[1] <= 1.2 * per_doc[0]
+
+
 def test_a_large_bucket_without_links_is_tested_whole(make_docs):
     """Texts that share much but not enough, in blocks of seven, and one pair among them that is linked."""
     common = [f"c{i * 31 % 97}" for i in range(60)]
