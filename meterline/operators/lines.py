@@ -244,43 +244,62 @@ def repetition(lines: DataFrame, keys: Sequence[str], text: str = "text", least:
     return groups.where(F.col("n") >= least)
 
 
+def _edits(size: Column, similar: float) -> Column:
+    """The most edits d of a longer text of ``size`` for which 1 - d / size is at least ``similar``, in the arithmetic of that test."""
+    about = F.floor((1 - similar) * size)
+    return F.when(1 - (about + 1) / size >= similar, about + 1).when(1 - about / size >= similar, about).otherwise(about - 1).cast("int")
+
+
+def _near_links(forms: DataFrame, keys: Sequence[str], similar: float, blocks: int = 16) -> DataFrame:
+    """(keys..., a, b): links between forms (keys..., normal, first) by which the same forms are reached as by all near pairs.
+
+    Where the longer form may differ by one edit, forms that are equal without the character at one place are all linked, so each
+    meets the first of them, and a form one shorter meets them by its own text: rows in proportion to characters, no pairs. Where
+    more edits are allowed, forms meet by length, in blocks of the longer side.
+    """
+    sized = forms.withColumn("size", F.length("normal")).withColumn("edits", _edits(F.col("size"), similar))
+    lengths = sized.select(*keys, F.col("size").alias("long"), F.col("edits").alias("most")).where("most > 0").distinct()
+    cut = sized.where("edits = 1").select(*keys, "first", "normal", F.explode(F.sequence(F.lit(1), "size")).alias("at"))
+    cut = cut.select(*keys, "first", "at", F.expr("concat(substring(normal, 1, at - 1), substring(normal, at + 1))").alias("rest"))
+    below = lengths.where("most = 1").select(*keys, (F.col("long") - 1).alias("size"))
+    whole = sized.join(below, [*keys, "size"], "left_semi").select(*keys, "first", F.explode(F.sequence(F.lit(1), F.col("size") + 1)).alias("at"), F.col("normal").alias("rest"))
+    least = F.min("first").over(Window.partitionBy(*keys, "at", "rest"))
+    one = cut.unionByName(whole).withColumn("a", least).where("a <> first").select(*keys, "a", F.col("first").alias("b"))
+    spread_out = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shorter = sized.join(lengths.where("most > 1"), list(keys)).where("size <= long and long - size <= most")
+    shorter = shorter.select(*keys, "long", "size", "first", "normal", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).repartition(spread_out, *keys, "long", "block")
+    longer = sized.where("edits > 1").select(*keys, F.col("size").alias("long"), "edits", F.col("first").alias("o_first"), F.col("normal").alias("o_normal"), F.pmod(F.hash("normal"), F.lit(blocks)).alias("block"))
+    near = shorter.join(longer, [*keys, "long", "block"]).where("(size < long or first < o_first) and levenshtein(normal, o_normal, edits) >= 0")
+    return one.unionByName(near.select(*keys, F.col("first").alias("a"), F.col("o_first").alias("b")))
+
+
 def near_repetition(lines: DataFrame, keys: Sequence[str], text: str = "text", *, least: int = 2, similar: float = 0.8) -> DataFrame:
     """(keys..., line_idx, cluster, n) of the lines (keys..., line_idx) that recur, exactly or nearly, at least ``least`` times.
 
     Normal forms are linked when 1 - edits / longer length is at least ``similar``; cluster is the first line reachable over links,
-    n the lines of the cluster. Equal forms are one from the start; forms of one key meet only where their lengths allow it.
+    n the lines of the cluster. Equal forms are one from the start. The links of one key are joined in one task.
     """
-    held = lines.select(*keys, "line_idx", T.normal_line(F.col(text)).alias("normal")).where("normal <> ''")
-    forms = held.groupBy(*keys, "normal").agg(F.min("line_idx").alias("first"), F.count("*").alias("c")).withColumn("size", F.length("normal"))
-    other = forms.select(*keys, *(F.col(c).alias(f"o_{c}") for c in ("normal", "first", "size")))
-    longer = F.greatest("size", "o_size")
-    near = forms.join(other, list(keys)).where((F.col("first") < F.col("o_first")) & (longer - F.least("size", "o_size") <= (1 - similar) * longer))
-    near = near.where(1 - F.levenshtein("normal", "o_normal") / longer >= similar)
-    own = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
-    pairs = near.groupBy(*keys).agg(F.collect_list(F.struct(F.col("first").cast("long").alias("a"), F.col("o_first").cast("long").alias("b"))).alias("_pairs"))
-    # Labels spread over a track's links until none changes: as many rounds as the track has forms, at most.
-    nodes = forms.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("first").cast("long"))).alias("_nodes"))
+    held = lines.select(*keys, "line_idx", T.normal_line(F.col(text)).alias("normal")).where("normal <> ''").dropna(subset=list(keys))
+    forms = held.groupBy(*keys, "normal").agg(F.min("line_idx").cast("long").alias("first"), F.count("*").alias("c")).where("first is not null")
     kinds = ", ".join(f"{k} {dict(lines.dtypes)[k]}" for k in keys)
 
-    def joined(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in group.itertuples(index=False):
-            label = {n: n for n in row._asdict()["nodes"]}
-
-            def root(n: int, label: dict = label) -> int:
-                while label[n] != n:
-                    label[n] = label[label[n]]
-                    n = label[n]
-                return n
-
-            for pair in row._asdict()["pairs"]:
-                a, b = sorted((root(pair["a"]), root(pair["b"])))
-                label[b] = a
-            out += [(*(row._asdict()[k] for k in keys), n, root(n)) for n in label]
-        return pd.DataFrame(out, columns=[*keys, "first", "cluster"])
-
-    grouped = nodes.join(pairs, list(keys), "left").select(*keys, F.col("_nodes").alias("nodes"), F.coalesce("_pairs", own).alias("pairs"))
-    labelled = grouped.mapInPandas(lambda parts: (joined(p) for p in parts), f"{kinds}, first long, cluster long")
-    clusters = forms.join(labelled, [*keys, "first"]).select(*keys, "normal", "cluster", "c")
+    def joined(key: tuple, links: pd.DataFrame) -> pd.DataFrame:
+        label: dict[int, int] = {}
+
+        def root(n: int) -> int:
+            label.setdefault(n, n)
+            while label[n] != n:
+                label[n] = label[label[n]]
+                n = label[n]
+            return n
+
+        for a, b in zip(links["a"].tolist(), links["b"].tolist(), strict=True):
+            a, b = sorted((root(a), root(b)))
+            label[b] = a
+        found = pd.DataFrame({"first": list(label), "cluster": [root(n) for n in label]})
+        return found.assign(**dict(zip(keys, key, strict=True)))[[*keys, "first", "cluster"]]
+
+    labelled = _near_links(forms, keys, similar).groupBy(*keys).applyInPandas(joined, f"{kinds}, first long, cluster long")
+    clusters = forms.join(labelled, [*keys, "first"], "left").select(*keys, "normal", F.coalesce("cluster", "first").alias("cluster"), "c")
     sizes = clusters.groupBy(*keys, "cluster").agg(F.sum("c").alias("n")).where(F.col("n") >= least)
     return held.join(clusters.drop("c"), [*keys, "normal"]).join(sizes, [*keys, "cluster"]).select(*keys, "line_idx", "cluster", "n")

@@ -104,3 +104,54 @@ def test_flags_in_fixed_order(spark):
     ).first()
     assert row["all"] == ["low_confidence", "unaligned", "long_word_duration", "possibly_non_lexical", "overlapping_vocals", "outside_vocal_activity"]
     assert row["none"] == []
+
+
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        old, row = row, [i]
+        for j, d in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (c != d)))
+    return row[-1]
+
+
+def plain_clusters(rows, least, similar):
+    """By all pairs of the lines of a key."""
+    out = []
+    for k in {k for k, _, _ in rows}:
+        held = {i: n for key, i, n in rows if key == k and n}
+        near = lambda a, b: a == b or 1 - plain_edits(a, b) / max(len(a), len(b)) >= similar
+        met = {i: [j for j in held if near(held[i], held[j])] for i in held}
+        for i in held:
+            seen, todo = {i}, [i]
+            while todo:
+                todo += [j for j in met[todo.pop()] if j not in seen and not seen.add(j)]
+            if len(seen) >= least:
+                out.append((k, i, min(seen), len(seen)))
+    return sorted(out)
+
+
+def test_near_repetition_is_that_of_all_pairs(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.choice([4, 5, 6, 9, 10, 11, 12, 20, 21]))) for _ in range(140)]
+    for t in texts[:60]:  # the same with one to four edits
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(len(t))
+            t = t[:at] + rng.choice(["", "c", t[at] + "c"]) + t[at + 1 :]
+        texts.append(t)
+    rows = [(rng.randrange(2), i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k int, line_idx long, text string")
+    for similar in (0.7, 0.8, 0.9):
+        assert sorted(map(tuple, lines.near_repetition(df, ["k"], similar=similar).collect())) == plain_clusters(rows, 2, similar)
+
+
+def test_near_repetition_one_letter_more_in_ten(spark):
+    df = spark.createDataFrame([(1, 0, "abcdefghij"), (1, 1, "abcdefghi"), (1, 2, "zzz"), (None, 3, "abcdefghij")], "k int, line_idx long, text string")
+    assert sorted(map(tuple, lines.near_repetition(df, ["k"], similar=0.9).collect())) == [(1, 0, 0, 2), (1, 1, 0, 2)]
+
+
+def test_near_repetition_makes_no_pairs_of_names(spark):
+    names = spark.range(3000).select(F.lit(1).alias("k"), F.col("id").alias("line_idx"), F.format_string("Name#%09d", F.col("id")).alias("text"))
+    forms = names.select("k", F.col("text").alias("normal"), F.col("line_idx").alias("first"))
+    assert lines._near_links(forms, ["k"], 0.9).count() <= 3000 * 14
+    assert lines.near_repetition(names, ["k"], similar=0.9).count() == 3000
