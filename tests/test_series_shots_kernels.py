@@ -152,3 +152,17 @@ def test_files(spark, tmp_path):
 
     ids = {r.filename: r.track_id for r in media.files(spark, str(tmp_path)).collect()}
     assert ids["c.bin"] == hashlib.sha256(b"\x00" * 10).hexdigest()[:16]
+
+
+def test_features_take_one_pass_over_spectra(monkeypatch):
+    passes = []
+    plain = kernels.spectra
+    monkeypatch.setattr(kernels, "spectra", lambda y: passes.append(len(y)) or plain(y))
+    kernels.track_features(click_track(2.0)[0])
+    assert passes == [2 * kernels.RATE]
+
+
+def test_tracks_are_dealt_out_though_they_are_few_bytes(spark):
+    samples = spark.range(48).select(F.col("id").cast("string").alias("track_id"), F.lit(500).cast("long").alias("i"), F.lit(0.5).alias("v"))
+    found = kernels.features_of_samples(samples).select("track_id", F.spark_partition_id().alias("task")).collect()
+    assert len(found) == 48 and len({r.task for r in found}) > 6
