@@ -21,3 +21,11 @@ def test_query(spark, con, name):
     else:
         assert len(found)
     assert len(set(found.columns)) == len(found.columns)
+
+
+def test_word_confidence_splits_a_text_once(spark, tmp_path):
+    text = " ".join(["word"] * 20_000)
+    spark.createDataFrame([(1, 0, "user", text), (1, 1, "user", "  "), (2, 0, "user", "a b  c")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = catalogue.QUERIES["word_confidence"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 20_000, 0.5), (1, 1, 0, None), (2, 0, 3, 0.667)]
