@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.rounding import half_even, rounded
 from . import intervals
+from .series import many_tasks
 
 
 @dataclass(frozen=True)
@@ -127,7 +129,7 @@ LOOKAHEAD, HINT_BEFORE, HINT_AFTER = 400, 5.0, 20.0
 
 def indel(a: str, b: str) -> float:
     """Normalised Indel similarity by bit-parallel longest common subsequence."""
-    if not a and not b:
+    if a == b:
         return 1.0
     places: dict[str, int] = {}
     for i, c in enumerate(a):
@@ -208,7 +210,8 @@ def anchor_track(lines: list[dict], words: list[dict], least: float) -> list[dic
     return out
 
 
-ANCHORED = "line_idx long, text string, hint_seconds double, start double, end double, anchored boolean, confidence double, flags array<string>, words array<struct<text:string,start:double,end:double,confidence:double>>"
+WORDS = "array<struct<text:string,start:double,end:double,confidence:double>>"
+PLACED = "line_idx long, text string, hint_seconds double, start double, end double, anchored boolean, confidence double, flags array<string>, w_text array<string>, w_start array<double>, w_end array<double>, w_confidence array<double>"
 
 
 def anchor_lines(lines: DataFrame, words: DataFrame, key: str = "track_id", *, least: float = 0.6) -> DataFrame:
@@ -216,25 +219,35 @@ def anchor_lines(lines: DataFrame, words: DataFrame, key: str = "track_id", *, l
     hint_seconds) placed on observed words (key, word_idx, text, start, end), with times for those that found no place.
 
     Tokens are brought to normal form by column functions; the search itself depends on where the line before it ended, so it is
-    one grouped function per track. A track's lines and words are one group; tracks run in parallel.
+    one grouped function per track. A track's lines and words are one group; tracks run in parallel, dealt out by number, as they
+    are few bytes for the time they take. Words come back as one array for each field, which Arrow makes without a step per word.
     """
     key_type = dict(lines.dtypes)[key]
-    tokens = T.tokens(F.col("text"))
-    left = lines.select(key, F.col("line_idx").cast("long"), "text", F.col("hint_seconds").cast("double"), tokens.alias("tokens"), F.transform(tokens, T.normal_token).alias("normal"))
-    right = words.select(key, F.col("word_idx").cast("long"), F.col("start").cast("double"), F.col("end").cast("double"), T.normal_token(F.col("text")).alias("normal"))
+    tasks = many_tasks(lines.sparkSession)
+    split = lines.select(key, F.col("line_idx").cast("long"), "text", F.col("hint_seconds").cast("double"), T.tokens(F.col("text")).alias("tokens"))
+    left = split.withColumn("normal", F.transform("tokens", T.normal_token)).repartition(tasks, key)
+    right = words.select(key, F.col("word_idx").cast("long"), F.col("start").cast("double"), F.col("end").cast("double"), T.normal_token(F.col("text")).alias("normal")).repartition(tasks, key)
 
-    def run(supplied: pd.DataFrame, observed: pd.DataFrame) -> pd.DataFrame:
-        supplied, observed = supplied.sort_values("line_idx"), observed.sort_values("word_idx")
+    def run(supplied: pa.Table, observed: pa.Table) -> pa.Table:
+        supplied, observed = supplied.sort_by("line_idx"), observed.sort_by("word_idx")
         rows = [
-            {"tokens": list(t), "normal": list(m), "hint_seconds": None if pd.isna(h) else h} for t, m, h in zip(supplied["tokens"], supplied["normal"], supplied["hint_seconds"], strict=True)
+            {"tokens": t or [], "normal": m or [], "hint_seconds": None if h is None or math.isnan(h) else h}
+            for t, m, h in zip(*(supplied[c].to_pylist() for c in ("tokens", "normal", "hint_seconds")), strict=True)
         ]
-        placed = anchor_track(rows, observed[["normal", "start", "end"]].to_dict("records"), least)
-        out = supplied[[key, "line_idx", "text", "hint_seconds"]].reset_index(drop=True)
-        for column in ("start", "end", "anchored", "confidence", "flags", "words"):
-            out[column] = pd.Series([p[column] for p in placed], dtype=object if column in ("flags", "words", "anchored") else float)
-        return out
-
-    placed = left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(run, f"{key} {key_type}, {ANCHORED}")
+        times = (observed[c].to_numpy().tolist() for c in ("start", "end"))  # a time that is null is NaN
+        seen = [{"normal": w, "start": s, "end": e} for w, s, e in zip(observed["normal"].to_pylist(), *times, strict=True)]
+        placed = anchor_track(rows, seen, least)
+        out = {key: supplied[key], "line_idx": supplied["line_idx"], "text": supplied["text"], "hint_seconds": pa.array([r["hint_seconds"] for r in rows], pa.float64())}
+        out |= {c: pa.array([p[c] for p in placed], pa.float64(), from_pandas=True) for c in ("start", "end", "confidence")}
+        out |= {"anchored": pa.array([p["anchored"] for p in placed], pa.bool_()), "flags": pa.array([p["flags"] for p in placed], pa.list_(pa.string()))}
+        for j, (field, kind) in enumerate((("text", pa.string()), ("start", pa.float64()), ("end", pa.float64()), ("confidence", pa.float64()))):
+            out[f"w_{field}"] = pa.array([[w[j] for w in p["words"]] for p in placed], pa.list_(kind))
+        return pa.table(out)
+
+    placed = left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(run, f"{key} {key_type}, {PLACED}")
+    field = lambda c: F.col(f"w_{c}").alias(c)
+    zipped = F.arrays_zip(field("text"), field("start"), field("end"), field("confidence"))
+    placed = placed.select(key, "line_idx", "text", "hint_seconds", "start", "end", "anchored", "confidence", "flags", zipped.cast(WORDS).alias("words"))
     return interpolate_unanchored(placed, [key])
 
 

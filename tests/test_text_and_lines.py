@@ -155,3 +155,15 @@ def test_near_repetition_makes_no_pairs_of_names(spark):
     forms = names.select("k", F.col("text").alias("normal"), F.col("line_idx").alias("first"))
     assert lines._near_links(forms, ["k"], 0.9).count() <= 3000 * 14
     assert lines.near_repetition(names, ["k"], similar=0.9).count() == 3000
+
+
+def test_tracks_are_anchored_in_tasks_of_their_own(spark):
+    ids = spark.range(48).select(F.col("id").alias("track_id"))
+    line = ids.select("track_id", F.lit(0).alias("line_idx"), F.lit("One two!").alias("text"), F.lit(float("nan")).alias("hint_seconds"))
+    word = ids.select("track_id", F.posexplode(F.array(F.lit("one"), F.lit("Two"))).alias("word_idx", "text")).withColumn("start", F.col("word_idx") * 1.0).withColumn("end", F.col("word_idx") + 0.5)
+    found = lines.anchor_lines(line, word).withColumn("task", F.spark_partition_id())
+    assert not [x for x in ("ArrowEvalPython", "InPandas") if x in found._jdf.queryExecution().executedPlan().toString()]
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    assert len(rows) == 48 and all((r.anchored, r.start, r.end, r.confidence, r.flags, r.hint_seconds) == (True, 0.0, 1.5, 1.0, [], None) for r in rows)
+    assert all([tuple(w) for w in r.words] == [("One", 0.0, 0.5, 1.0), ("two!", 1.0, 1.5, 1.0)] for r in rows)
